@@ -239,6 +239,12 @@ def normalise_weights(weights: dict) -> dict:
     return {k: v / total for k, v in weights.items()} if total > 0 else dict(weights)
 
 
+def normalised_columns(names: list[str]) -> dict[str, Column]:
+    """The same for weights held in columns."""
+    total = sum([F.col(n) for n in names[1:]], F.col(names[0]))
+    return {n: F.when(total > 0, F.col(n) / total).otherwise(F.col(n)) for n in names}
+
+
 def ensemble_vote(df: DataFrame, heuristic: str = "heuristic", retrieval: str = "retrieval",
                   bias: str = "bias", cascade: str | None = None,
                   weights=V.ENSEMBLE_WEIGHTS) -> DataFrame:

@@ -86,15 +86,16 @@ def profile_routes(spark) -> DataFrame:
                      [(p, t, m) for p, ms in V.AGENT_PROFILES.items() for t, m in zip(V.TIERS, ms)])
 
 
-def join_agents(df: DataFrame, agents: DataFrame, default_agent: str = "default",
-                key: str = "agent_key") -> DataFrame:
-    """Agent of a key, the default agent when the key is unknown. The registry is left to
-    AQE: it broadcasts by measured size and otherwise joins by shuffle."""
-    a = agents.select(F.col(key).alias("__k"), F.struct("agent_id", "provider", "profile").alias("__a"))
-    d = agents.where(F.col("agent_id") == default_agent).agg(
-        F.first(F.struct("agent_id", "provider", "profile")).alias("__d"))
-    return (df.join(a, F.col(key) == F.col("__k"), "left").join(F.broadcast(d))
-            .withColumn("__x", F.coalesce("__a", "__d"))
+def join_agents(df: DataFrame, agents: DataFrame, key: str = "agent_key",
+                default_agent: tuple[str, str, str] = ("default", "moa", "balanced")) -> DataFrame:
+    """Agent of a key, the default agent (id, provider, profile) when the key is unknown.
+    The registry grows with the data, so the join carries no hint: Spark broadcasts it by
+    measured size and otherwise joins by shuffle."""
+    names = ["agent_id", "provider", "profile"]
+    a = agents.select(F.col(key).alias("__k"), F.struct(*names).alias("__a"))
+    default = F.struct(*[F.lit(v).alias(n) for n, v in zip(names, default_agent)])
+    return (df.join(a, F.col(key) == F.col("__k"), "left")
+            .withColumn("__x", F.coalesce("__a", default))
             .select(*df.columns, F.col("__x.agent_id").alias("agent_id"),
                     F.col("__x.provider").alias("agent_provider"), F.col("__x.profile").alias("profile")))
 

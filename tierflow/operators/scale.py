@@ -20,15 +20,17 @@ def as_cols(order) -> list[Column]:
 
 def running(df: DataFrame, keys: list[str], order: list, bucket: Column,
             sums: dict[str, Column] | None = None, previous: dict[str, Column] | None = None,
-            totals: dict[str, Column] | None = None) -> DataFrame:
+            totals: dict[str, Column] | None = None,
+            mins: dict[str, Column] | None = None) -> DataFrame:
     """Adds per-key ordered values.
 
     sums      inclusive running sums
+    mins      inclusive running minima
     previous  last non-null value of the expression on an earlier row
     totals    sum over the whole key
     ``order`` must be unique within a key and ``bucket`` must not decrease along it.
     """
-    sums, previous, totals = sums or {}, previous or {}, totals or {}
+    sums, previous, totals, mins = sums or {}, previous or {}, totals or {}, mins or {}
     cols = df.columns
     d = df.withColumn(BUCKET, bucket)
     for i, e in enumerate(sums.values()):
@@ -37,9 +39,12 @@ def running(df: DataFrame, keys: list[str], order: list, bucket: Column,
         d = d.withColumn(f"__p{i}", e)
     for i, e in enumerate(totals.values()):
         d = d.withColumn(f"__t{i}", e)
+    for i, e in enumerate(mins.values()):
+        d = d.withColumn(f"__m{i}", e)
     ordered = as_cols(order)
     aggs = [F.sum(f"__s{i}").alias(f"__S{i}") for i in range(len(sums))]
     aggs += [F.sum(f"__t{i}").alias(f"__T{i}") for i in range(len(totals))]
+    aggs += [F.min(f"__m{i}").alias(f"__M{i}") for i in range(len(mins))]
     aggs += [F.max(F.when(F.col(f"__p{i}").isNotNull(),
                           F.struct(*[c.alias(f"o{j}") for j, c in enumerate(ordered)],
                                    F.col(f"__p{i}").alias("v")))).alias(f"__P{i}")
@@ -50,6 +55,7 @@ def running(df: DataFrame, keys: list[str], order: list, bucket: Column,
     whole = Window.partitionBy(*keys)
     carry = [F.coalesce(F.sum(f"__S{i}").over(before), F.lit(0)).alias(f"__cs{i}")
              for i in range(len(sums))]
+    carry += [F.min(f"__M{i}").over(before).alias(f"__cm{i}") for i in range(len(mins))]
     carry += [F.last(f"__P{i}", ignorenulls=True).over(before)["v"].alias(f"__cp{i}")
               for i in range(len(previous))]
     carry += [F.sum(f"__T{i}").over(whole).alias(n) for i, n in enumerate(totals)]
@@ -65,6 +71,8 @@ def running(df: DataFrame, keys: list[str], order: list, bucket: Column,
     out = [F.col(c) for c in cols]
     out += [(F.col(f"__cs{i}") + F.sum(f"__s{i}").over(upto)).alias(n)
             for i, n in enumerate(sums)]
+    out += [F.least(F.col(f"__cm{i}"), F.min(f"__m{i}").over(upto)).alias(n)
+            for i, n in enumerate(mins)]
     out += [F.coalesce(F.last(f"__p{i}", ignorenulls=True).over(prior), F.col(f"__cp{i}")).alias(n)
             for i, n in enumerate(previous)]
     out += [F.col(n) for n in totals]
@@ -73,7 +81,9 @@ def running(df: DataFrame, keys: list[str], order: list, bucket: Column,
 
 def time_bucket(ts: Column, seconds: int = 3600) -> Column:
     """Slice number of a timestamp; the width bounds the rows of one (key, slice)."""
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1000000)).cast("long")
+    day = F.datediff(F.to_date(ts), F.lit("1970-01-01"))
+    return F.floor((day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
+                   / F.lit(seconds)).cast("long")
 
 
 def position_bucket(pos: Column, width: int = 4096) -> Column:

@@ -118,7 +118,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.element_at(F.array(*[F.lit(s) for s in ["200", "429", "500", "400", "timeout"]]),
                           ((F.col("interaction_id") * 3 + F.col("pos") * 2) % 5 + 1).cast("int"))
     return (interactions(spark, sf_dir).select("interaction_id", "predicted_tier")
-            .withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long"))
+            .withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
             .withColumn("status", status))
 
 
