@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prompts", "feedback"]
+MODULES = ["prompts", "feedback", "convo"]
 
 
 def _collect(kind):
