@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tierflow import vocab as V
 from tierflow.functions import text as T
 from tierflow.operators.routing import kv_bytes, with_window
-from tierflow.operators.scale import position_bucket, running
+from tierflow.operators.scale import position_bucket, running, staged
 
 KEY, POS = "session_id", "pos"
 
@@ -48,29 +48,41 @@ def cap_messages(df: DataFrame, limit: int = 60, keep_last: int = 30) -> DataFra
     """Above ``limit`` messages: old assistant messages and whole old tool-call chains go;
     system, user and the last ``keep_last`` messages stay. One pass."""
     head = F.when(F.col("role") != "tool", F.struct(
-        F.col("__i").alias("i"), ((F.col("role") == "assistant") & has_calls()).alias("calls")))
-    d = _ordered(df, sums={"__i": _one()}, totals={"__n": _one()})
-    d = _ordered(d, previous={"__head": head})
+        F.col(POS).alias("p"), ((F.col("role") == "assistant") & has_calls()).alias("calls")))
+    d = _ordered(df, sums={"__i": _one()}, totals={"__n": _one()}, previous={"__head": head})
     # a chain that reaches into the kept tail stays whole: only the one across the cut can
-    cut = F.col("__n") - keep_last + 1
-    across = F.when((F.col("__i") == cut) & (F.col("role") == "tool"), F.col("__head.i"))
-    d = _ordered(d, totals={"__across": across})
+    at_cut = F.col("__i") == F.col("__n") - keep_last + 1
+    d = _ordered(d, totals={"__cut": F.when(at_cut, F.col(POS)), "__across": F.when(
+        at_cut & (F.col("role") == "tool"), F.col("__head.p"))})
+    cut = F.col("__cut")
     start = F.least(cut, F.coalesce("__across", cut))
     in_chain = (F.col("role") == "tool") & F.coalesce(F.col("__head.calls"), F.lit(False))
-    old_plain = (F.col("role") == "assistant") & ~has_calls() & (F.col("__i") < cut)
-    old_head = (F.col("role") == "assistant") & has_calls() & (F.col("__i") < start)
-    old_tool = in_chain & (F.col("__head.i") < start)
+    old_plain = (F.col("role") == "assistant") & ~has_calls() & (F.col(POS) < cut)
+    old_head = (F.col("role") == "assistant") & has_calls() & (F.col(POS) < start)
+    old_tool = in_chain & (F.col("__head.p") < start)
     return d.where(~((F.col("__n") > limit) & (old_plain | old_head | old_tool))).select(*df.columns)
 
 
+ROLES = ["system", "user", "assistant", "tool"]
+
+
+def with_runs(df: DataFrame, **kw) -> DataFrame:
+    """Adds ``__run``: the position of the last message of another role. It is the same for
+    all messages of a run and differs between runs of one role, so one pass is enough."""
+    other = {f"__o_{r}": F.when(F.col("role") != r, F.col(POS)) for r in ROLES}
+    d = _ordered(df, previous=other, **kw)
+    run = F.lit(None).cast("long")
+    for r in ROLES:
+        run = F.when(F.col("role") == r, F.col(f"__o_{r}")).otherwise(run)
+    return d.withColumn("__run", F.coalesce(run, F.lit(-1))).drop(*other)
+
+
 def merge_runs(df: DataFrame, extra: list[str] | None = None, calls: str = "all") -> DataFrame:
     """Consecutive messages of one role become one, texts joined by a separator. Keeps the
     first position, the first tool_call_id and all tool calls, or only those of the first
     message (``calls='first'``). ``extra`` columns are constant within a session."""
     extra = extra or []
-    d = _ordered(df, previous={"__role": F.col("role")})
-    fresh = F.coalesce(F.col("__role") != F.col("role"), F.lit(True))
-    d = _ordered(d.withColumn("__fresh", fresh.cast("long")), sums={"__run": F.col("__fresh")})
+    d = df if "__run" in df.columns else with_runs(df)
     part = F.struct(POS, "text", "tool_calls", "tool_call_id")
     g = d.groupBy(KEY, "__run", "role").agg(
         F.array_sort(F.collect_list(part)).alias("m"), F.count(F.lit(1)).alias("merged"),
@@ -92,7 +104,9 @@ def _word_in(words) -> Column:
 def message_importance(df: DataFrame, recency: str = "reference") -> DataFrame:
     """Adds idx (0-based), n, radius and angle. ``recency='reference'`` gives the oldest
     message the highest share; ``'newest'`` turns it round."""
-    d = _ordered(df, sums={"idx": _one()}, totals={"n": _one()}).withColumn("idx", F.col("idx") - 1)
+    calls = (F.col("role") == "assistant") & has_calls()
+    d = _ordered(df, sums={"idx": _one()}, totals={"n": _one()}, previous={"__was": calls})
+    d = d.withColumn("idx", F.col("idx") - 1)
     d = d.withColumn("tags", T.topic_tags(F.col("text")))
     share = F.col("idx") / F.col("n")
     fresh = F.greatest(F.lit(0.0), 1.0 - share) if recency == "reference" else share
@@ -106,14 +120,15 @@ def message_importance(df: DataFrame, recency: str = "reference") -> DataFrame:
               + w(role == "system", 0.15) + w(role == "user", 0.10) + T.semantic_importance(F.col("tags")) * 0.25)
     angle = (F.when(role == "system", "system").when(role == "user", "user").when(tool, "tool")
              .when(F.col("__dec") | F.col("__err"), "decision").otherwise("assistant"))
-    return d.withColumn("radius", F.least(radius, F.lit(1.0))).withColumn("angle", angle).drop("__dec", "__err")
+    return d.withColumn("radius", F.least(radius, F.lit(1.0))).withColumn("angle", angle).drop(
+        "__dec", "__err")
 
 
 def protect_chains(df: DataFrame) -> DataFrame:
     """Marks assistant messages with calls, the tool message behind them and tool messages
     with a call id. Expects merged messages."""
     calls = (F.col("role") == "assistant") & has_calls()
-    d = _ordered(df, previous={"__was": calls})
+    d = df if "__was" in df.columns else _ordered(df, previous={"__was": calls})
     tool = (F.col("role") == "tool") & (F.coalesce("__was", F.lit(False)) | F.col("tool_call_id").isNotNull())
     return d.withColumn("protected", calls | tool).drop("__was")
 
@@ -163,23 +178,23 @@ def trim_to_budget(df: DataFrame, recent: int = 3, protect_users: bool = False)
     savings of earlier eligible messages is still above the threshold; the same form, with
     assistant tokens, then drops the oldest assistants above the input limit.
     Expects threshold and max_input; marks dropped rows."""
-    d = _ordered(df, sums={"__i": _one()}, totals={"__n": _one()}).withColumn("__i", F.col("__i") - 1)
     sentences = _sentences(F.col("text"))
     roles = ["system", "user"] if protect_users else ["system"]
-    eligible = (~F.col("role").isin(roles) & (F.col("__i") < F.col("__n") - recent)
-                & (F.length("text") > 80) & (F.size(sentences) > 1))
-    d = d.withColumn("__cut", F.when(eligible, T.strip(sentences[0])))
+    candidate = ~F.col("role").isin(roles) & (F.length("text") > 80) & (F.size(sentences) > 1)
     calls = F.coalesce(F.length(F.to_json("tool_calls")), F.lit(0))
-    d = d.withColumn("__tok", message_tokens())
-    d = d.withColumn("__save", F.coalesce(F.col("__tok") - T.est_tokens(F.col("__cut"), calls), F.lit(0)))
-    d = d.withColumn("__save", F.when(F.col("__cut").isNotNull(), F.col("__save")).otherwise(0))
-    d = _ordered(d, sums={"__saved": F.col("__save")}, totals={"__total": F.col("__tok")})
-    over = F.col("__total") - (F.col("__saved") - F.col("__save")) > F.col("threshold")
+    d = df.withColumn("__cut", F.when(candidate, T.strip(sentences[0]))).withColumn("__tok", message_tokens())
+    d = d.withColumn("__save", F.when(F.col("__cut").isNotNull(),
+                                      F.col("__tok") - T.est_tokens(F.col("__cut"), calls)).otherwise(0))
+    # the last rows are no candidates, but nothing later counts their savings
+    d = _ordered(d, sums={"__i": _one(), "__saved": F.col("__save")},
+                 totals={"__n": _one(), "__total": F.col("__tok")}).withColumn("__i", F.col("__i") - 1)
+    over = (F.col("__total") - (F.col("__saved") - F.col("__save")) > F.col("threshold")) \
+        & (F.col("__i") < F.col("__n") - recent)
     d = d.withColumn("trimmed", over & F.col("__cut").isNotNull())
     d = d.withColumn("text", F.when(F.col("trimmed"), F.col("__cut")).otherwise(F.col("text")))
     d = d.withColumn("__tok", message_tokens())
     old = (F.col("role") == "assistant") & (F.col("__i") < F.col("__n") - recent)
-    d = d.withColumn("__drop", F.when(old, F.col("__tok")).otherwise(0))
+    d = d.withColumn("__drop", F.when(F.col("role") == "assistant", F.col("__tok")).otherwise(0))
     d = _ordered(d, sums={"__gone": F.col("__drop")}, totals={"__now": F.col("__tok")})
     out = old & (F.col("__now") - (F.col("__gone") - F.col("__drop")) > F.col("max_input"))
     return d.withColumn("dropped", out).select(*df.columns, "trimmed", "dropped")
@@ -190,8 +205,8 @@ def compact(df: DataFrame, model: str, recency: str = "reference",
     """(messages, entries): all steps for one target model. Messages carry their level and
     the flags ``kept``, ``trimmed`` and ``dropped``; entries go to the retrieval store."""
     d = budget(cap_messages(df).withColumn("model", F.lit(model))).drop("model", "reserved")
-    d = d.withColumn("__t", message_tokens())
-    d = _ordered(d, totals={"original_tokens": F.col("__t"), "__n": _one()}).drop("__t")
+    d = staged(d.withColumn("__t", message_tokens()))
+    d = with_runs(d, totals={"original_tokens": F.col("__t"), "__n": _one()}).drop("__t")
     quiet = (F.col("original_tokens") <= F.col("threshold")) | (
         (F.col("__n") <= 5) & (F.col("original_tokens") <= 8000))
     session = ["context_window", "kv_per_1k", "max_input", "threshold", "original_tokens"]
@@ -202,7 +217,7 @@ def compact(df: DataFrame, model: str, recency: str = "reference",
     m = merge_runs(busy, session).drop("merged")
     m = protect_chains(message_importance(m, recency))
     ratio = F.col("threshold") / F.greatest(F.lit(1), F.col("original_tokens"))
-    m = apply_level(m.withColumn("level", assign_level(ratio)))
+    m = staged(apply_level(m.withColumn("level", assign_level(ratio))))
     entries = compaction_entries(m)
     rest = m.where(F.col("text").isNotNull()).select(*[c for c in plain.columns if c not in ("trimmed", "dropped")])
     done = trim_to_budget(rest, protect_users=protect_users)
@@ -266,7 +281,7 @@ def sanitise(df: DataFrame) -> DataFrame:
     runs = _first(runs, first_user, "__u")
     runs = runs.where(F.col("__u").isNull() | (F.col(POS) >= F.col("__u"))).drop("__u")
     body = runs.select(KEY, POS, "role", "text", "tool_calls", "tool_call_id", F.lit(1).alias("__part"))
-    rows = system.unionByName(body)
+    rows = staged(system.unionByName(body))
     # a tool message needs a parent among the calls that survived the merge
     ids = rows.where((F.col("role") == "assistant") & has_calls()).select(
         F.col(KEY).alias("__ks"), F.explode("tool_calls").alias("__c")).select("__ks", F.col("__c.id").alias("__cid")).distinct()
@@ -275,26 +290,24 @@ def sanitise(df: DataFrame) -> DataFrame:
     blank = (F.coalesce(T.strip(F.col("text")), F.lit("")) == "") & ~anchor
     orphan = (F.col("role") == "tool") & F.col("tool_call_id").isNotNull() & F.col("__cid").isNull()
     rows = rows.where(~blank & ~orphan).drop("__ks", "__cid")
-    # order: systems, then the rest; their positions may interleave
+    # order: systems, then the rest. A tool message stays only behind an assistant; rows in
+    # front of the first system or user row go. Neither rule removes a system or user row,
+    # so one pass serves both.
     order = ["__part", POS]
     slot = F.col("__part") * 1000000000000 + position_bucket(F.col(POS))
-    rows = running(rows, [KEY], order, slot, previous={"__before": F.col("role")})
-    rows = rows.where((F.col("role") != "tool") | (F.col("__before") == "assistant")).drop("__before")
-    # leading rows that are neither system nor user go; they can only stand at the start
-    # of a session without any system row in front
-    good = F.when(F.col("role").isin("system", "user"), 1).otherwise(0).cast("long")
-    slot = F.col("__part") * 1000000000000 + position_bucket(F.col(POS))
-    rows = running(rows, [KEY], order, slot, sums={"__good": good})
-    rows = rows.where(F.col("__good") > 0).drop("__good")
-    rows = running(rows, [KEY], order, slot, totals={"__users": F.when(F.col("role") == "user", 1).otherwise(0).cast("long")})
-    # a session that lost all rows, or has no user row, gets one behind its system rows
-    has_user = rows.where(F.col("__users") > 0).select(KEY).distinct()
-    lost = many.select(KEY).distinct().join(has_user, KEY, "left_anti")
+    anchor_row = F.col("role").isin("system", "user")
+    rows = running(rows, [KEY], order, slot, previous={"__before": F.col("role")},
+                   sums={"__good": F.when(anchor_row, 1).otherwise(0).cast("long")})
+    behind = (F.col("role") != "tool") | F.coalesce(F.col("__before") == "assistant", F.lit(False))
+    rows = staged(rows.where(behind & (F.col("__good") > 0)).drop("__before", "__good"))
+    # a session without user rows gets one behind its system rows
+    lost = many.select(KEY).distinct().join(
+        rows.where(F.col("role") == "user").select(KEY).distinct(), KEY, "left_anti")
     filler = lost.select(KEY, F.lit(-1).cast("long").alias(POS), F.lit("user").alias("role"),
                          F.lit(V.CONTINUE_TEXT).alias("text"),
                          F.lit(None).cast(df.schema["tool_calls"].dataType).alias("tool_calls"),
                          F.lit(None).cast("string").alias("tool_call_id"), F.lit(1).alias("__part"))
-    out = alone.unionByName(rows.drop("__users")).unionByName(filler)
+    out = alone.unionByName(rows).unionByName(filler)
     out = running(out, [KEY], order, slot, sums={"__new": _one()})
     return out.withColumn(POS, F.col("__new") - 1).drop("__new", "__part")
 

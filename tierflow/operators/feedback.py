@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tierflow import vocab as V
 from tierflow.functions import scoring as S, text as T
 from tierflow.functions.num import rnd
-from tierflow.operators.scale import (dimension, running, time_bucket, top_per_key, unit_hash,
-                                      with_halo)
+from tierflow.operators.scale import (dimension, running, staged, time_bucket, top_per_key,
+                                      unit_hash, with_halo)
 
 
 # --- reads ----------------------------------------------------------------------
@@ -290,7 +290,7 @@ def match_votes(replies: DataFrame, requests: DataFrame, within_seconds: int = 3
     ev = opened.unionByName(closed)
     ev = running(ev, ["agent_id"], order, slot, sums={"s": F.when(F.col("kind") == 0, 1).otherwise(-1)})
     ev = running(ev, ["agent_id"], order, slot, mins={"low": F.least(F.col("s"), F.lit(0))})
-    ev = ev.withColumn("depth", F.col("s") - F.col("low"))
+    ev = staged(ev.withColumn("depth", F.col("s") - F.col("low")))
     ev = running(ev, ["agent_id"], order, slot, previous={"before": F.col("depth")})
     ev = ev.withColumn("level", F.when(F.col("kind") == 0, F.col("depth"))
                        .otherwise(F.coalesce("before", F.lit(0))))

@@ -9,11 +9,34 @@ once, on (key, bucket).
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET = "__bucket"
 
 
+def scratch_dir(spark) -> str:
+    """Shared scratch folder of the cluster; a temporary one only where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="tierflow-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/tierflow/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Writes an intermediate result to the shared scratch folder and reads it back.
+
+    ``running`` reads its input twice, so a chain of them would double the plan at every
+    step. A stage ends that, survives lost executors, and is read with column pruning.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_cols(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 

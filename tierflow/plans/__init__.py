@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prompts", "feedback", "convo"]
+MODULES = ["prompts", "feedback", "convo", "datasets"]
 
 
 def _collect(kind):

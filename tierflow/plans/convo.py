@@ -225,7 +225,7 @@ BROKEN = f"""{Q.MESSAGES}, broken AS (SELECT session_id, pos, CASE WHEN pos%13=5
   CASE WHEN pos%11=3 THEN ' '||chr(10)||' ' ELSE text END AS text, calls, CASE WHEN pos%17=2 THEN 'tc_missing' ELSE tool_call_id END AS tool_call_id FROM messages)"""
 
 SANE = f"""{BROKEN}, nt AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM broken), single AS (SELECT * FROM nt WHERE n=1),
-nonsys AS (SELECT * EXCLUDE (n) FROM nt WHERE n>1 AND role<>'system'), {merge_sql('nonsys', 'mg', 'arg_min(calls, pos)')},
+nonsys AS (SELECT * EXCLUDE (n) FROM nt WHERE n>1 AND role<>'system'), {merge_sql('nonsys', 'mg', '(list(calls ORDER BY pos))[1]')},
 fu AS (SELECT session_id, min(pos) AS u FROM mg WHERE role='user' GROUP BY 1),
 body AS (SELECT mg.session_id, 1 AS part, pos, role, text, CASE WHEN calls IS NOT NULL AND len(calls)>0 THEN calls END AS calls, tool_call_id FROM mg LEFT JOIN fu USING (session_id) WHERE u IS NULL OR pos>=u),
 al AS (SELECT session_id, 0 AS part, pos, role, text, calls, tool_call_id FROM nt WHERE n>1 AND role='system' UNION ALL SELECT * FROM body),
@@ -256,7 +256,7 @@ def _notes(spark, sf):
     chr(10)||chr(10)||'Continuity from previous turn (heavy→glm-5.1):'||chr(10)||'- keep kafka'||chr(10)||'- '||substr(t,1,20) AS k FROM lt),
   sp AS (SELECT session_id, min(pos) AS sp FROM m2 WHERE role='system' GROUP BY 1)
   SELECT m2.session_id, pos, role, md5(CASE WHEN pos=sp AND nt.k IS NOT NULL THEN text||coalesce(chr(10)||chr(10)||c,'')||k ELSE text END) AS text_md5 FROM m2 LEFT JOIN sp USING (session_id) LEFT JOIN nt ON nt.session_id=m2.session_id
-  UNION ALL SELECT nt.session_id, -1, 'system', md5(CASE WHEN c IS NOT NULL THEN c||k ELSE substr(k,3) END) FROM nt WHERE session_id NOT IN (SELECT session_id FROM sp)""")
+  UNION ALL SELECT nt.session_id, -1, 'system', md5(CASE WHEN c IS NOT NULL THEN c||k ELSE {Q.strip('k')} END) FROM nt WHERE session_id NOT IN (SELECT session_id FROM sp)""")
 def c13(spark, sf):
     m = A.messages(spark, sf).where("NOT (session_id % 2 = 1 AND role = 'system')")
     return C.augment(m, _notes(spark, sf)).select("session_id", "pos", "role", F.md5("text").alias("text_md5"))
