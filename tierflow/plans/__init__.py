@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prompts", "feedback", "convo", "datasets"]
+MODULES = ["prompts", "feedback", "convo", "datasets", "models"]
 
 
 def _collect(kind):
