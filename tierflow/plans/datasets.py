@@ -24,7 +24,7 @@ def query(name, sql=None):
 
 
 def _docs(spark, sf):
-    return A.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    return A.text_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
 @query("s4_load_instructions", f"""WITH f AS (SELECT * FROM documents ORDER BY doc_id LIMIT 600), prompts AS (SELECT doc_id AS id, {Q.strip('text')} AS text FROM f WHERE length(text) > 10),
@@ -104,7 +104,7 @@ def p3(spark, sf):
 
 # --- generation -----------------------------------------------------------------------------
 def _ids(spark, sf):
-    return A.table(spark, sf, "documents").select(F.col("doc_id").alias("id"),
+    return A.text_table(spark, sf, "documents").select(F.col("doc_id").alias("id"),
                                                   F.when(F.col("doc_id") % 10 < 7, "trivial").otherwise("light").alias("label"))
 
 

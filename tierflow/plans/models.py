@@ -39,7 +39,7 @@ def s1(spark, sf):
             .when(k == 3, "").when(k == 4, F.concat(F.lit('{"text": "'), F.lit("broken")))
             .when(k == 5, j(F.lit("").alias("text"), t.alias("prompt"))).otherwise('{"other": 1}'))
     path = scratch_dir(spark)
-    A.table(spark, sf, "documents").select(line.alias("value")).write.text(path)
+    A.text_table(spark, sf, "documents").select(line.alias("value")).write.text(path)
     return S_.read_prompts(spark, path).groupBy(F.md5("text").alias("text_md5"), "label", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -48,12 +48,12 @@ def s2(spark, sf):
     line = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("text").alias("prompt")))) \
         .otherwise(F.regexp_replace("text", "[\r\n]", " "))
     path = scratch_dir(spark)
-    A.table(spark, sf, "documents").select(line.alias("value")).write.text(path)
+    A.text_table(spark, sf, "documents").select(line.alias("value")).write.text(path)
     return S_.read_score_input(spark, path).groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _samples(spark, sf):
-    d = S.label_signals(A.table(spark, sf, "documents").select("doc_id", "text", "source"))
+    d = S.label_signals(A.text_table(spark, sf, "documents").select("doc_id", "text", "source"))
     return d.select(F.col("doc_id").cast("string").alias("id"), "source", F.col("text").alias("raw_text"),
                     F.create_map(F.lit("k"), F.lit("v")).alias("context"), F.col("label").alias("complexity_hint"),
                     F.lit("query").alias("intent_type"), F.lit("general").alias("domain"), "label",
@@ -74,7 +74,7 @@ def s3(spark, sf):
 def s5(spark, sf):
     """Pages written as files in two folders, one of them excluded."""
     path = scratch_dir(spark)
-    d = A.table(spark, sf, "pages").select(F.regexp_replace("html", "[\r\n]", " ").alias("value"),
+    d = A.text_table(spark, sf, "pages").select(F.regexp_replace("html", "[\r\n]", " ").alias("value"),
                                            F.when(F.col("page_id") % 5 == 0, "node_modules").otherwise("src").alias("folder"))
     for folder in ("src", "node_modules"):
         d.where(F.col("folder") == folder).select("value").repartition(8).write.text(f"{path}/{folder}")
@@ -84,7 +84,7 @@ def s5(spark, sf):
 
 @query("s6_session_turns", "SELECT 'sess_'||conv_id||'_'||lpad(CAST(turn AS VARCHAR),4,'0') AS id, md5(substr(text,1,4000)) AS text_md5 FROM conversations WHERE role='user' AND turn<500 AND length(text)>=10")
 def s6(spark, sf):
-    return S_.session_turns(A.table(spark, sf, "conversations")).select("id", F.md5("raw_text").alias("text_md5"))
+    return S_.session_turns(A.text_table(spark, sf, "conversations")).select("id", F.md5("raw_text").alias("text_md5"))
 
 
 @query("s7_write_jsonl", f"WITH {PD.LAB}, r AS ({PD._rank_sql('lab', 'label')}) SELECT CASE WHEN rk<=floor(tot*0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(length(text))::BIGINT AS chars FROM r GROUP BY 1")
@@ -109,7 +109,7 @@ def s8(spark, sf):
 # --- fitting ---------------------------------------------------------------------------------
 def _train(spark, sf):
     """Formula-labelled documents with generated trivial, light and graded prompts."""
-    docs = S.label_signals(A.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    docs = S.label_signals(A.text_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
     ids = PD._ids(spark, sf)
     gen = D.generate_prompts(ids).select((F.col("id") + 1000000000).alias("id"), "text", "label")
     graded = D.generate_graded(ids.select("id")).select((F.col("id") + 2000000000).alias("id"), "text", F.col("tier").alias("label"))

@@ -199,14 +199,14 @@ def t7(spark, sf):
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start)-1 AS BIGINT) AS chunk_pos, md5(chunk) AS chunk_md5
   FROM (SELECT * FROM k UNION ALL SELECT * FROM f)""")
 def t8(spark, sf):
-    d = T.chunk_text(A.table(spark, sf, "documents").select("doc_id", "text"), kind="window")
+    d = T.chunk_text(A.text_table(spark, sf, "documents").select("doc_id", "text"), kind="window")
     return d.select("doc_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), F.md5("chunk").alias("chunk_md5"))
 
 
 @query("t8_chunk_by_suffix")
 def t8_code(spark, sf):
     """Pages as mixed files: code, markdown and plain windows by suffix."""
-    d = A.table(spark, sf, "pages").select(
+    d = A.text_table(spark, sf, "pages").select(
         "page_id", F.element_at(F.array(F.lit(".py"), F.lit(".md"), F.lit(".html")),
                                 (F.col("page_id") % 3 + 1).cast("int")).alias("suffix"),
         F.regexp_replace("html", "(?i)<h[1-3]", "\n## x <h").alias("text"))
@@ -218,7 +218,7 @@ def t8_code(spark, sf):
   WHERE role='user' GROUP BY conv_id""")
 def t9(spark, sf):
     """Typed blocks are joined; thinking blocks are no text."""
-    d = A.table(spark, sf, "conversations").where("role = 'user'").select(
+    d = A.text_table(spark, sf, "conversations").where("role = 'user'").select(
         "conv_id", "turn", T.block_text(F.array(
             F.struct(F.lit("thinking").alias("type"), F.lit("...").alias("text")),
             F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))).alias("text"))

@@ -23,15 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with long texts, spread over the cores when it comes as fewer files than
+    cores: a file may be a single row group, which one task would read and tokenise. With
+    files enough, as on a cluster, nothing is shuffled."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *[k for k in (TEXT_KEYS[name], "turn") if k in df.columns])
+
+
 def _phrase(key):
     return F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (key % len(PHRASES) + 1).cast("int"))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text): all documents and all user turns, each behind an opening phrase."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = text_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.concat_ws(" ", _phrase(F.col("doc_id")), "text").alias("text"))
-    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
+    turns = text_table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
         (F.lit(1000000000000) + F.col("conv_id") * 100 + F.col("turn")).alias("id"),
         F.concat_ws(" ", _phrase(F.col("conv_id") + F.col("turn")), "text").alias("text"))
     return docs.unionByName(turns)
@@ -67,7 +81,7 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, pos, role, text, tool_calls, tool_call_id): long sessions with tool rows."""
-    return table(spark, sf_dir, "conversations").selectExpr(
+    return text_table(spark, sf_dir, "conversations").selectExpr(
         "cast(floor(conv_id / 20) AS bigint) AS session_id", "conv_id * 100 + turn AS pos",
         "CASE WHEN role = 'user' AND turn % 4 = 2 AND conv_id % 3 = 0 THEN 'tool' ELSE role END AS role",
         """concat(CASE conv_id % 5 WHEN 0 THEN 'The final decision: use kafka. '
@@ -84,7 +98,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turn with the assistant turn that follows it."""
-    conv = table(spark, sf_dir, "conversations")
+    conv = text_table(spark, sf_dir, "conversations")
     u = conv.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
     a = conv.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
@@ -126,7 +140,7 @@ def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval entries out of conversations: keywords of each assistant turn."""
     from tierflow.functions import text as T
     from tierflow.functions.scoring import tier_at
-    conv = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    conv = text_table(spark, sf_dir, "conversations").where("role = 'assistant'")
     return conv.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("entry_id"),
         (F.col("conv_id") * 100 + F.col("turn")).alias("created"),
@@ -142,6 +156,6 @@ def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_queries(spark: SparkSession, sf_dir: str, distinct: bool = False) -> DataFrame:
     from tierflow.functions import text as T
-    conv = table(spark, sf_dir, "conversations").where("role = 'user'")
+    conv = text_table(spark, sf_dir, "conversations").where("role = 'user'")
     return conv.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"),
                        T.keywords(F.col("text"), distinct).alias("keywords"), "text")
