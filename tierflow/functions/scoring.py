@@ -148,18 +148,22 @@ def cascade_score(df: DataFrame, weights=V.CASCADE_WEIGHTS, code_slot: str = "ze
                 .withColumn("tier", tier_classic(F.col("score")))
                 .withColumn("confidence", rnd("score", 4))
                 .withColumn("method", F.lit("heuristic")))
-    d = df.withColumn("__l", F.array(*cascade_logits(weights, code_slot)))
-    diffs = [F.col("__l")[i] - F.col("__l")[i + 1] for i in range(4)]
-    d = d.withColumn("__d", F.array(*diffs))
-    pick, conf = F.lit(V.TIER_MIDPOINTS["extreme"]), F.lit(0.5)
+    # separate columns: items of an array column would be inlined into every use
+    d = df.select("*", heuristic_score().alias("__h"),
+                  *[c.alias(f"__l{i}") for i, c in enumerate(cascade_logits(weights, code_slot))])
+    d = d.select("*", *[(F.col(f"__l{i}") - F.col(f"__l{i + 1}")).alias(f"__d{i}") for i in range(4)])
+    pick = F.lit(4)
     for i in reversed(range(4)):
-        hit = F.col("__d")[i] > 0
-        pick = F.when(hit, V.TIER_MIDPOINTS[V.TIERS[i]]).otherwise(pick)
-        conf = F.when(hit, F.least(sigmoid(F.col("__d")[i]), F.lit(0.99))).otherwise(conf)
-    return (d.withColumn("score", rnd(clamp(0.6 * heuristic_score() + 0.4 * pick), 4))
+        pick = F.when(F.col(f"__d{i}") > 0, i).otherwise(pick)
+    d = d.withColumn("__pick", pick)
+    win = F.coalesce(*[F.when(F.col("__pick") == i, F.col(f"__d{i}")) for i in range(4)])
+    mid = F.element_at(F.array(*[F.lit(V.TIER_MIDPOINTS[t]) for t in V.TIERS[:4] + ["extreme"]]), F.col("__pick") + 1)
+    conf = F.when(F.col("__pick") == 4, 0.5).otherwise(F.least(sigmoid(win), F.lit(0.99)))
+    return (d.withColumn("score", rnd(clamp(0.6 * F.col("__h") + 0.4 * mid), 4))
             .withColumn("tier", tier_classic(F.col("score")))
             .withColumn("confidence", rnd(conf, 4))
-            .withColumn("method", F.lit("cascade")).drop("__l", "__d"))
+            .withColumn("method", F.lit("cascade"))
+            .drop("__h", "__pick", *[f"__l{i}" for i in range(5)], *[f"__d{i}" for i in range(4)]))
 
 
 def first_yes(weights=V.CASCADE_WEIGHTS, code_slot: str = "zero",

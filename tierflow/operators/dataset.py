@@ -212,8 +212,8 @@ def generate_dataset(ids: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFra
 def exact_quantiles(df: DataFrame, value: str, points: list[float], cells: int = 4096) -> DataFrame:
     """One row with interpolated quantiles q0, q1, ... of a value in [0, 1]. Equal values are
     folded first; ranks come from value cells, so no task sees all values."""
-    from tierflow.operators.scale import running
-    d = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    from tierflow.operators.scale import running, staged
+    d = staged(df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")))
     d = running(d, [], ["v"], F.floor(F.col("v") * cells), sums={"upto": F.col("n")}, totals={"total": F.col("n")})
     aggs = []
     for i, p in enumerate(points):
