@@ -8,6 +8,7 @@ from tierflow import vocab as V
 from tierflow.functions import features as X, scoring as S
 from tierflow.functions.num import rnd
 from tierflow.operators import dataset as D, redact as RD
+from tierflow.operators.scale import staged
 from tierflow.plans import prompts as P, sql as Q
 from tierflow.sources import adapters as A
 
@@ -87,7 +88,8 @@ def _rank_sql(src, keys, idc="id", seed=42):
 
 @query("p2_stratified_split", f"WITH {LAB}, r AS ({_rank_sql('lab', 'label')}) SELECT id, label, CASE WHEN rk <= floor(tot*0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM r")
 def p2(spark, sf):
-    return D.stratified_split(_labelled(spark, sf)).select("id", "label", "part")
+    # the split reads its input three times; labels are computed once
+    return D.stratified_split(staged(_labelled(spark, sf).select("id", "label")))
 
 
 @query("p2_random_split", f"WITH d AS (SELECT doc_id AS id FROM documents), r AS ({_rank_sql('d', '')}) SELECT id, CASE WHEN rk <= floor(tot*0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM r")
@@ -99,7 +101,7 @@ def p2_random(spark, sf):
   SELECT id, target FROM r, m WHERE m>=10 AND rk<=m""")
 def p3(spark, sf):
     d = _labelled(spark, sf).select("id", (F.col("label") == "heavy").cast("int").alias("target"))
-    return D.balanced_sample(d)
+    return D.balanced_sample(staged(d))
 
 
 # --- generation -----------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from tierflow import vocab as V
 from tierflow.functions import features as X, scoring as S, text as T
 from tierflow.functions.num import rnd
 from tierflow.operators import dataset as D, fit as M, retrieval as I, routing as R
-from tierflow.operators.scale import dimension, scratch_dir
+from tierflow.operators.scale import dimension, scratch_dir, staged
 from tierflow.plans import datasets as PD, feedback as PF, prompts as P, sql as Q
 from tierflow.sources import adapters as A, files as S_
 from tierflow.streaming import streams as Z
@@ -90,7 +90,7 @@ def s6(spark, sf):
 @query("s7_write_jsonl", f"WITH {PD.LAB}, r AS ({PD._rank_sql('lab', 'label')}) SELECT CASE WHEN rk<=floor(tot*0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(length(text))::BIGINT AS chars FROM r GROUP BY 1")
 def s7(spark, sf):
     path = scratch_dir(spark)
-    d = D.stratified_split(PD._labelled(spark, sf))
+    d = D.stratified_split(staged(PD._labelled(spark, sf)))
     for part in ("train", "test"):
         S_.write_jsonl(d.where(F.col("part") == part), f"{path}/{part}")
     back = spark.read.schema(d.schema).json([f"{path}/train", f"{path}/test"])
