@@ -285,10 +285,6 @@ def cascade_features(df: DataFrame, text: str = "text", variant: str = "voter")
     ])
 
 
-# order of the voter's vector: the last two slots are swapped against FEATURE_NAMES' sense
-VOTER_ORDER = V.FEATURE_NAMES
-
-
 def signal_count(df: DataFrame, text: str = "text") -> DataFrame:
     """Nine-signal count, context flag, system-word count and white-space word count."""
     cols = df.columns
@@ -308,9 +304,8 @@ def signal_count(df: DataFrame, text: str = "text") -> DataFrame:
 def to_vector(code_slot: str = "zero") -> Column:
     """Ordered 15-vector of ``prompt_features``. The slot named ``code`` is 0 by
     default, which is what the shipped weights were fitted on; ``flag`` fills it."""
-    names = {"code": F.lit(0.0) if code_slot == "zero" else F.col("has_code")}
-    return F.array(*[names.get(n, F.col(n)).cast("double") if n != "code" else names["code"]
-                     for n in V.FEATURE_NAMES])
+    code = F.lit(0.0) if code_slot == "zero" else F.col("has_code")
+    return F.array(*[code if n == "code" else F.col(n).cast("double") for n in V.FEATURE_NAMES])
 
 
 def optimiser_vector() -> Column:
@@ -318,5 +313,4 @@ def optimiser_vector() -> Column:
     four = (F.col("has_code").cast("double") + F.col("has_question").cast("double")
             + F.col("has_imperative").cast("double") + (F.col("technical_terms") > 0).cast("double"))
     names = {"code": F.col("has_code"), "four_plus": four}
-    return F.array(*[names.get(n, F.col(n) if n not in names else None).cast("double")
-                     for n in V.FEATURE_NAMES])
+    return F.array(*[(names[n] if n in names else F.col(n)).cast("double") for n in V.FEATURE_NAMES])

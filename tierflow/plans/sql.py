@@ -98,10 +98,6 @@ def phrase(key: str) -> str:
     return f"({lst(PHRASES)})[CAST(({key}) % {len(PHRASES)} AS INT) + 1]"
 
 
-def escape_newlines(sql: str) -> str:
-    return sql
-
-
 PROMPTS = f"""prompts AS (
   SELECT doc_id AS id, {phrase('doc_id')}||' '||text AS text FROM documents
   UNION ALL
