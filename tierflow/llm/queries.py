@@ -6,8 +6,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tierflow.llm.packing import pack
 from tierflow.llm.substring_dedup import substring_dedup
 from tierflow.llm.suffix_dedup import suffix_dedup
+from tierflow.llm.token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
@@ -25,7 +31,11 @@ def op7_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op7_substring_dedup)}
+def op8_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op5_suffix_dedup, op7_substring_dedup, op8_best_fit_packing)}
 
 ORACLE = {
     "op5_suffix_dedup": """
