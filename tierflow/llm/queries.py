@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierflow.llm.packing import pack
+from tierflow.llm.simhash import near_duplicates
 from tierflow.llm.substring_dedup import substring_dedup
 from tierflow.llm.suffix_dedup import suffix_dedup
 from tierflow.llm.token_counts import token_counts
@@ -22,6 +23,10 @@ def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
@@ -35,7 +40,7 @@ def op8_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op5_suffix_dedup, op7_substring_dedup, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op5_suffix_dedup, op7_substring_dedup, op8_best_fit_packing)}
 
 ORACLE = {
     "op5_suffix_dedup": """
