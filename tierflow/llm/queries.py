@@ -6,11 +6,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tierflow.llm.decontamination import contamination
 from tierflow.llm.packing import pack
 from tierflow.llm.simhash import near_duplicates
 from tierflow.llm.substring_dedup import substring_dedup
 from tierflow.llm.suffix_dedup import suffix_dedup
 from tierflow.llm.token_counts import token_counts
+from tierflow.llm.toxicity import score
+from tierflow.llm.url_filter import judge
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +35,10 @@ def op5_suffix_dedup(spark, sf_dir):
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op6_toxicity(spark, sf_dir):
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("sentences")
+
+
 def op7_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -40,7 +47,18 @@ def op8_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op5_suffix_dedup, op7_substring_dedup, op8_best_fit_packing)}
+def op9_benchmark_decontamination(spark, sf_dir):
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.size("hits").cast("bigint").alias("n_windows"),
+                        F.array_sort(F.array_distinct("hits.item_id")).alias("item_ids"))
+
+
+def op10_url_filter(spark, sf_dir):
+    return judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op5_suffix_dedup, op6_toxicity,
+                                  op7_substring_dedup, op8_best_fit_packing, op9_benchmark_decontamination, op10_url_filter)}
 
 ORACLE = {
     "op5_suffix_dedup": """

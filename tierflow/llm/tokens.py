@@ -116,7 +116,7 @@ class Encoder:
 
 
 def _room(array: np.ndarray, n: int) -> np.ndarray:
-    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
+    return array if n <= len(array) else np.concatenate([array, np.zeros((max(n, 2 * len(array)) - len(array), *array.shape[1:]), array.dtype)])
 
 
 _loaded: dict[str, Encoder] = {}
