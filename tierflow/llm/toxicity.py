@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         w, bias = fit(table["text"].to_pylist(), table["toxic"].to_numpy())
         return pa.table([pa.array([w.astype("<f4").tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
-    got = rows.groupBy(F.lit(0)).applyInArrow(go, "w binary, bias double").collect()
+    got = rows.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(go, "w binary, bias double").collect()
     return (np.frombuffer(got[0]["w"], "<f4").astype(float), got[0]["bias"]) if got else (np.zeros(SLOTS), -30.0)
 
 
