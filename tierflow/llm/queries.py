@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierflow.llm.decontamination import contamination
+from tierflow.llm.fingerprints import edited, fingerprints, likeness, order_minhash, with_next
 from tierflow.llm.packing import pack
 from tierflow.llm.simhash import near_duplicates
 from tierflow.llm.substring_dedup import substring_dedup
@@ -22,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_document_fingerprints(spark, sf_dir):
+    own = with_next(fingerprints(table(spark, sf_dir, "documents")), {"text": "next_text", "fingerprint": "next_fingerprint"})
+    changed = own.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_fingerprint", order_minhash(F.col("edited")))
+    return changed.select(
+        "doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
 def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -57,7 +67,7 @@ def op10_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op5_suffix_dedup, op6_toxicity,
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_simhash_near_dedup, op5_suffix_dedup, op6_toxicity,
                                   op7_substring_dedup, op8_best_fit_packing, op9_benchmark_decontamination, op10_url_filter)}
 
 ORACLE = {
