@@ -70,7 +70,7 @@ def two_rounds(rows: DataFrame, job, schema: str) -> DataFrame:
     spark = rows.sparkSession
     n = max(parts(spark), -(-text_bytes(rows) // BUCKET_BYTES))
     job.shards = n
-    placed = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "b")
+    placed = rows.withColumn("__b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "__b")
 
     def ask(number):
         def go(key, left, right):
@@ -97,7 +97,7 @@ def two_rounds(rows: DataFrame, job, schema: str) -> DataFrame:
     def last(key, left, right):
         return job.finish(left, _read(right, 1), _read(right, 2)) if left.num_rows else job.empty
 
-    buckets = placed.groupBy("b")
+    buckets = placed.groupBy("__b")
     said = buckets.applyInArrow(first, _MESSAGE).groupBy("s").applyInArrow(answer(1), _MESSAGE)
     again = (buckets.cogroup(said.groupBy("b")).applyInArrow(ask(2), _MESSAGE)
              .groupBy("s").applyInArrow(answer(2), _MESSAGE))

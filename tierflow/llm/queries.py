@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierflow.llm.decontamination import contamination
 from tierflow.llm.fingerprints import edited, fingerprints, likeness, order_minhash, with_next
+from tierflow.llm.line_dedup import line_dedup
 from tierflow.llm.packing import pack
 from tierflow.llm.simhash import near_duplicates
 from tierflow.llm.substring_dedup import substring_dedup
@@ -40,6 +41,11 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), lines="n_lines", removed="n_removed")
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
@@ -67,10 +73,20 @@ def op10_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_simhash_near_dedup, op5_suffix_dedup, op6_toxicity,
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_simhash_near_dedup, op4_line_dedup, op5_suffix_dedup, op6_toxicity,
                                   op7_substring_dedup, op8_best_fit_packing, op9_benchmark_decontamination, op10_url_filter)}
 
 ORACLE = {
+    "op4_line_dedup": """
+with l as (select doc_id, i, ls[i] as t from (select *, unnest(range(1, len(ls)+1)) as i
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+f as (select t, strlen(t) as n, min(row(doc_id, i)) as p from l where strlen(t) >= 30 group by t),
+m as (select b.t, min(a.p) as p from f b join (select *, unnest([n-2, n-1, n, n+1, n+2]) as near from f) a
+        on b.n = a.near where a.p <= b.p and levenshtein(a.t, b.t) <= 2 group by b.t),
+k as (select doc_id, i, t, coalesce(m.p < row(doc_id, i), false) as gone from l left join m using (t))
+select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_removed,
+  sha256(coalesce(string_agg(t, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from k group by doc_id""",
     "op5_suffix_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
 w as (select doc_id, i, substr(h, 2*i+1, 100) as g from (select *, unnest(range(0, n-49)) as i from d)),
