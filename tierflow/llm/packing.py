@@ -81,8 +81,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = TOKENS
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Only documents longer than ``max_tokens``
     are cut. Defaults of ``max_docs`` and ``max_attention`` are the most that ``max_tokens`` allows, so they bind only where given;
     a piece that alone costs more than ``max_attention`` is an error. Pieces are packed in groups of
-    about ``group`` by a hash, in parallel; a group leaves a few part-filled sequences at most. Full pieces are
-    sequences of their own and are not shuffled.
+    about ``group`` by a hash, in parallel; a group leaves a few part-filled sequences at most.
     A null text is empty and gives one piece, the end id; a null doc_id stays null; repeated rows are packed each; an empty table gives no
     rows; other columns are ignored.
     """
@@ -92,7 +91,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = TOKENS
     capacity = np.array(most, float)
     groups = max(1, -(-docs.count() // group))
     cut = pieces(docs, tokenizer, max_tokens).withColumn("row", F.monotonically_increasing_id())
-    full = F.col("length") == most[0]
 
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
@@ -104,8 +102,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = TOKENS
                         names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    part = cut.withColumn("g", F.when(~full, F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups))).otherwise(-1 - F.col("row")))
-    # a full piece is a group of its own: its negative number is its sequence
-    return part.where("g >= 0").groupBy("g").applyInArrow(place, schema).unionByName(
-        part.where("g < 0").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("g").alias("sequence_id"),
-                                   F.lit(0).cast("bigint").alias("offset")))
+    return cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups))).groupBy("g").applyInArrow(place, schema)
