@@ -180,3 +180,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = named.select("fp", "root").join(whole, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their component: the smallest doc_id, one row of it.
+
+    A component whose doc_ids are all null keeps one row. Empty texts are one component.
+    """
+    # A component is known by its least row: (doc_id, hash of the text, place in the table), which also settles repeated rows.
+    row = F.monotonically_increasing_id()
+    numbered = staged(docs.withColumn("__row", row))
+    marked = staged(_with_row(numbered, size))
+    fps = staged(marked.groupBy("fp").agg(F.min("key").alias("least")))
+    joined = components(links(fps.select("fp"), distance))
+    named = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    stay = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    return numbered.join(stay, "__row", "left_semi").select(docs.columns)
+
+
+def _with_row(numbered: DataFrame, size: int) -> DataFrame:
+    def go(batches):
+        for b in batches:
+            texts = b["text"].cast(pa.binary()).fill_null(b"").to_pylist()
+            fp = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array(fp, pa.int64())], ["doc_id", "row", "fp"])
+    rows = numbered.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__row").alias("row"))
+    out = rows.mapInArrow(go, "doc_id bigint, row bigint, fp bigint")
+    return out.select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key"))
