@@ -77,7 +77,7 @@ def within(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray,
         for up in range(e + 1):
             state[e] |= np.uint16(1 << (edits + up))
     padded = np.zeros((width + 2 * edits + 1, n), np.uint8)
-    padded[edits:edits + b.shape[1]] = b.T[:width + edits + 1]
+    padded[edits:edits + min(b.shape[1], width + edits + 1)] = b.T[:width + edits + 1]
     columns = np.ascontiguousarray(a.T)
     ok = np.zeros(n, bool)
     goal = np.left_shift(1, np.clip(b_size - a_size + edits, 0, 15)).astype(np.uint16)
@@ -103,23 +103,52 @@ def within(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray,
     return ok & near
 
 
-def _verify(lines: list[bytes], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:
-    """``within`` for pairs of line numbers, in batches of similar length."""
+def _counts(lines: list[bytes], bins: int = 16) -> np.ndarray:
+    """How often each line holds bytes of each remainder; an edit changes two of the counts by one at most."""
+    size = np.array([len(t) for t in lines], np.int64)
+    at = np.repeat(np.arange(len(lines)), size) * bins + (np.frombuffer(b"".join(lines), np.uint8) % bins)
+    return np.bincount(at, minlength=len(lines) * bins).reshape(-1, bins).astype(np.int32)
+
+
+def _cores(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+    """The two without the beginning and the end that they share, which cost no edits."""
+    for back in (False, True):
+        lo, hi = 0, min(len(a), len(b))
+        while lo < hi:  # longest shared beginning (end), by halving
+            m = (lo + hi + 1) // 2
+            if (a[-m:] == b[-m:]) if back else (a[:m] == b[:m]):
+                lo = m
+            else:
+                hi = m - 1
+        if lo:
+            a, b = (a[:-lo], b[:-lo]) if back else (a[lo:], b[lo:])
+    return a, b
+
+
+def _pad(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(t) for t in lines], np.int64)
+    width = int(size.max())
+    return np.frombuffer(b"".join(t.ljust(width, b"\0") for t in lines), np.uint8).reshape(len(lines), width), size
+
+
+def _verify(lines: list[bytes], counts: np.ndarray, x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:
+    """``within`` for pairs of line numbers, in batches of similar length, where the byte counts allow it."""
     out = np.zeros(len(x), bool)
-    order = np.argsort(sizes[x], kind="stable")
+    may = np.flatnonzero(np.abs(counts[x] - counts[y]).sum(1) <= 2 * edits)
+    if not len(may):
+        return out
+    cores = [_cores(lines[i], lines[j]) for i, j in zip(x[may].tolist(), y[may].tolist())]
+    size = np.array([max(len(a), len(b)) for a, b in cores])
+    out[may[size <= edits]] = True  # so short a rest can be replaced
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > edits]
     a = 0
     while a < len(order):
-        b = a + 1
-        step = max(1, min(PAIRS, CELLS // int(sizes[x[order[a]]] * 1.2 + 64)))
-        b = min(len(order), a + step)
-        b = a + max(1, int(np.searchsorted(sizes[x[order[a:b]]], sizes[x[order[a]]] * 1.2 + 16, "right")))
+        most = max(1, min(PAIRS, CELLS // int(size[order[a]] * 2 + 64)))
+        b = min(a + most, int(np.searchsorted(size[order], size[order[a]] * 2 + 32, "right")))
         part = order[a:b]
-        sx, sy = sizes[x[part]], sizes[y[part]]
-        used, inverse = np.unique(np.concatenate([x[part], y[part]]), return_inverse=True)
-        text = np.zeros((len(used), int(sizes[used].max())), np.uint8)
-        for k, i in enumerate(used.tolist()):
-            text[k, :sizes[i]] = np.frombuffer(lines[i], np.uint8)
-        out[part] = within(text[inverse[:len(part)], :int(sx.max())], sx, text[inverse[len(part):]], sy, edits)
+        left, right = zip(*(cores[i] for i in part))
+        out[may[part]] = within(*_pad(left), *_pad(right), edits)
         a = b
     return out
 
@@ -130,7 +159,6 @@ def earlier_near(lines: list[bytes], places: list[tuple], key: np.ndarray, line:
     Every line goes through the earlier entries of its keys in order, twice as many in each turn, and stops at the first near one; so
     a group of lines that are all alike costs one comparison each.
     """
-    sizes = np.array([len(t) for t in lines], np.int64)
     rank = np.empty(len(lines), np.int64)
     rank[sorted(range(len(lines)), key=places.__getitem__)] = np.arange(len(lines))
     order = np.lexsort((rank[line], key))
@@ -139,6 +167,7 @@ def earlier_near(lines: list[bytes], places: list[tuple], key: np.ndarray, line:
     start = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
     depth = np.arange(len(key)) - start
     near = np.zeros(len(lines), bool)
+    counts = _counts(lines)
     lo, step = 0, 1
     active = np.arange(len(key))
     while len(active := active[(depth[active] > lo) & ~near[line[active]]]):
@@ -152,7 +181,7 @@ def earlier_near(lines: list[bytes], places: list[tuple], key: np.ndarray, line:
             pair = np.unique(line[entry[fits]] * len(lines) + line[other[fits]])
             x, y = pair // len(lines), pair % len(lines)
             if len(x):
-                near[x[_verify(lines, sizes, x, y, edits)]] = True
+                near[x[_verify(lines, counts, x, y, edits)]] = True
         lo, step = lo + step, step * 2
     return near
 
