@@ -38,7 +38,7 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def entropy(text: Column) -> Column:
     """Bits a character."""
     chars = F.split(text, "")
-    return F.aggregate(F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.length(text)),
+    return F.aggregate(F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.greatest(F.length(text), F.lit(1))),
                        F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
