@@ -107,7 +107,8 @@ def seeded_take(df: DataFrame, keys: list[str], id_col: str, seed, quota, bucket
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     if not keys:
         h, cuts, cond = h.withColumn("__one", F.lit(1)), cuts.withColumn("__uno", F.lit(1)), F.col("__one") == F.col("__uno")
-    j = h.join(cuts, cond)
+    # one row per key, and keys are classes: labels, targets, or none at all
+    j = h.join(F.broadcast(cuts), cond)
     sure = j.where(F.col("__b") != F.col("__cut")).withColumn("taken", F.col("__b") < F.col("__cut"))
     rank = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__h", id_col))
     edge = j.where(F.col("__b") == F.col("__cut")).withColumn("taken", rank <= F.col("__rest"))
@@ -135,15 +136,15 @@ def balanced_sample(df: DataFrame, target: str = "target", id_col: str = "id", s
     return d.where("taken").drop("taken")
 
 
-def merge_datasets(dfs: list[DataFrame], max_total: int = 50000, redacted: bool = True, seed: int = 42,
+def merge_datasets(dfs: list[DataFrame], max_total: int | None = None, redacted: bool = True, seed: int = 42,
                    id_col: str = "id") -> DataFrame:
-    """Union by name, seeded shuffle with a cap, then redaction. ``max_total`` is part of
-    the operation."""
+    """Union by name, a seeded random choice of ``max_total`` rows if given, then redaction."""
     from tierflow.operators.redact import redact
     d = dfs[0]
     for other in dfs[1:]:
         d = d.unionByName(other, allowMissingColumns=True)
-    d = seeded_take(d, [], id_col, seed, lambda *_: F.lit(max_total), buckets=65536).where("taken").drop("taken")
+    if max_total is not None:
+        d = seeded_take(d, [], id_col, seed, lambda *_: F.lit(max_total), buckets=65536).where("taken").drop("taken")
     return redact(d, "text").withColumn("anonymized", F.lit(True)) if redacted else d
 
 

@@ -16,11 +16,12 @@ from tierflow.operators.scale import (dimension, running, staged, time_bucket, t
 
 
 # --- reads ----------------------------------------------------------------------
-def feedback_records(df: DataFrame, since=None, limit: int = 10000, ts: str = "ts",
+def feedback_records(df: DataFrame, since=None, limit: int | None = None, ts: str = "ts",
                      tie: str = "interaction_id") -> DataFrame:
-    """Newest records first. The limit is the reader's own page size."""
+    """Newest records first, ``limit`` of them if given."""
     d = df if since is None else df.where(F.col(ts) >= F.lit(since).cast("timestamp_ntz"))
-    return d.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(limit)
+    d = d.orderBy(F.col(ts).desc(), F.col(tie).desc())
+    return d if limit is None else d.limit(limit)
 
 
 def keep_latest(df: DataFrame, n: int, ts: str = "ts", tie: str = "interaction_id",

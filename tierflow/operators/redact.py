@@ -104,10 +104,10 @@ def redact(df: DataFrame, text: str = "text", rules=RULES, each: bool = False) -
     return d.select(*cols, last, *sums, *keep)
 
 
-def redact_dataset(df: DataFrame, field: str = "text", max_n: int | None = 50000, at=None,
+def redact_dataset(df: DataFrame, field: str = "text", max_n: int | None = None, at=None,
                    order: str = "id") -> DataFrame:
     """Text field with counts, values of the context map longer than 10 characters, and the
-    redaction marks. ``max_n`` is the writer's own limit; None takes all rows."""
+    redaction marks. ``max_n`` takes the first rows only."""
     from tierflow.operators.dataset import first_n
     d = df if max_n is None else first_n(df, max_n, order)
     d = redact(d, field)

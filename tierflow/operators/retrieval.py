@@ -1,26 +1,27 @@
-"""Keyword retrieval from the bounded history index.
+"""Keyword retrieval from the history index.
 
-The index keeps its newest ``max_entries`` rows and forgets rows older than the TTL;
-that is how the store is defined, and it bounds everything that is broadcast here.
-Queries are unbounded and may repeat, so equal keyword lists are looked up once.
+The index forgets rows older than the TTL; a caller may also ask for its newest ``max_entries`` only. Entries with
+equal term sets are looked up as one set, and queries with equal keyword lists as one profile, so neither copies of
+entries nor of queries multiply the work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tierflow import vocab as V
 from tierflow.functions import scoring as S
 from tierflow.operators.feedback import keep_latest
+from tierflow.operators.scale import top_per_key
 
-MAX_ENTRIES = 10000
+MAX_ENTRIES = None
 TTL_MS = 86400000
 
 
-def live_index(index: DataFrame, now=None, ttl=TTL_MS, max_entries: int = MAX_ENTRIES,
+def live_index(index: DataFrame, now=None, ttl=TTL_MS, max_entries: int | None = MAX_ENTRIES,
                created: str = "created", key: str = "entry_id") -> DataFrame:
     """Newest entries inside the TTL."""
-    kept = keep_latest(index, max_entries, created, key)
+    kept = index if max_entries is None else keep_latest(index, max_entries, created, key)
     return kept if now is None else kept.where(F.lit(now) - F.col(created) < ttl)
 
 
@@ -48,7 +49,7 @@ def containment_pairs(words: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, index: DataFrame, k: int = 3, now=None, ttl=TTL_MS,
-             max_entries: int = MAX_ENTRIES, query_id: str = "query_id", keywords: str = "keywords",
+             max_entries: int | None = MAX_ENTRIES, query_id: str = "query_id", keywords: str = "keywords",
              created: str = "created", key: str = "entry_id") -> DataFrame:
     """(query_id, rank, score, entry_id): the k entries with most matching keywords.
 
@@ -56,26 +57,28 @@ def retrieve(queries: DataFrame, index: DataFrame, k: int = 3, now=None, ttl=TTL
     in it. Ties go to the older entry. Repeated keywords of a query count each time.
     """
     entries = live_index(index, now, ttl, max_entries, created, key)
-    terms = entries.select(F.col(key).alias("e"), F.col(created).alias("c"),
-                           F.explode(F.array_distinct(F.concat("keywords", "tags"))).alias("term"))
-    postings = terms.groupBy("term").agg(F.collect_list(F.struct("c", "e")).alias("post"))
+    terms = F.array_sort(F.array_distinct(F.concat("keywords", "tags")))
+    held = entries.select(F.col(key).alias("e"), F.col(created).alias("c"), terms.alias("terms"))
+    held = held.withColumn("set", F.md5(F.to_json("terms")))
+    # of one set only its k oldest entries can be among the k best
+    oldest = top_per_key(held.select("set", "c", "e"), ["set"], [F.col("c"), F.col("e")], k).drop("rank")
+    sets = held.groupBy("set", "terms").agg(F.min(F.struct("c", "e")).alias("p"))
+    postings = sets.select("set", "p", F.explode("terms").alias("term"))
 
     # equal keyword lists are one profile; copies of a prompt cost one lookup
     profiled = queries.select(F.col(query_id).alias("q"), F.col(keywords).alias("kws"))
     profiles = profiled.groupBy("kws").agg(F.count(F.lit(1)).alias("n"))
     words = profiles.select(F.explode("kws").alias("kw")).distinct()
-    pairs = containment_pairs(words, postings.select("term")).join(postings, "term")
-    hits = (pairs.select("kw", F.explode("post").alias("p"))
-            .groupBy("kw").agg(F.collect_set("p").alias("entries")))
-    # one row per (profile, keyword): at most max_entries hits each, counted by entry
+    hits = (containment_pairs(words, postings.select("term").distinct()).join(postings, "term")
+            .groupBy("kw", "set").agg(F.min("p").alias("p")))
     lists = profiles.select("kws", F.posexplode("kws").alias("i", "kw"))
-    scored = (lists.join(hits, "kw").select("kws", F.explode("entries").alias("p"))
-              .groupBy("kws", "p").agg(F.count(F.lit(1)).alias("score")))
-    w = Window.partitionBy("kws").orderBy(F.col("score").desc(), F.col("p.c"), F.col("p.e"))
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    scored = (lists.join(hits, "kw").groupBy("kws", "set")
+              .agg(F.count(F.lit(1)).alias("score"), F.min("p").alias("p")))
+    # k sets hold the k best entries: each better set has an entry that is better too
+    near = top_per_key(scored, ["kws"], [F.col("score").desc(), F.col("p.c"), F.col("p.e")], k).drop("rank", "p")
+    top = top_per_key(near.join(oldest, "set"), ["kws"], [F.col("score").desc(), F.col("c"), F.col("e")], k)
     return profiled.join(top, "kws").select(
-        F.col("q").alias(query_id), F.col("rank").cast("long").alias("rank"), "score",
-        F.col("p.e").alias(key))
+        F.col("q").alias(query_id), F.col("rank").cast("long").alias("rank"), "score", F.col("e").alias(key))
 
 
 def retrieval_signal(queries: DataFrame, index: DataFrame, variant: str = "scorer", k: int = 5,
@@ -87,7 +90,7 @@ def retrieval_signal(queries: DataFrame, index: DataFrame, variant: str = "score
                          options.get("max_entries", MAX_ENTRIES))
     value = S.tier_value(F.col("tier"), V.RETRIEVAL_TIER_VALUES, 0.3 if variant == "scorer" else 0.5)
     e = entries.select("entry_id", value.alias("v"), (F.col("adequacy") < 0.6).alias("weak"))
-    s = got.join(F.broadcast(e), "entry_id").groupBy("query_id").agg(
+    s = got.join(e, "entry_id").groupBy("query_id").agg(
         F.avg("v").alias("mean"), F.max(F.col("weak").cast("int")).alias("weak"))
     signal = F.col("mean") if variant == "scorer" else F.when(F.col("mean").isNotNull(), F.least(
         F.lit(1.0), F.col("mean") + F.when(F.col("weak") == 1, 0.1).otherwise(0.0)))
@@ -101,7 +104,7 @@ def consensus_label(queries: DataFrame, index: DataFrame, min_agreement: int = 3
     got = retrieve(queries, index, 10, **options)
     entries = live_index(index, options.get("now"), options.get("ttl", TTL_MS),
                          options.get("max_entries", MAX_ENTRIES)).select("entry_id", "tier")
-    n = (got.join(F.broadcast(entries), "entry_id").groupBy("query_id", "tier")
+    n = (got.join(entries, "entry_id").groupBy("query_id", "tier")
          .agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")))
     best = n.groupBy("query_id").agg(F.sum("n").alias("found"),
                                      F.max(F.struct("n", (-F.col("first")).alias("f"), "tier")).alias("b"))
@@ -116,7 +119,7 @@ def context_notes(queries: DataFrame, index: DataFrame, k: int = 3, **options) -
     e = live_index(index, options.get("now"), options.get("ttl", TTL_MS),
                    options.get("max_entries", MAX_ENTRIES)).select(
         "entry_id", T.context_note(F.col("original_role"), F.col("summary")).alias("line"))
-    lines = got.join(F.broadcast(e), "entry_id").groupBy("query_id").agg(
+    lines = got.join(e, "entry_id").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
     return lines.select("query_id", F.concat(F.lit(T.CONTEXT_HEADER), F.array_join(F.col("l.line"), "\n"))
                         .alias("context_note"))

@@ -70,7 +70,7 @@ def resolve_provider(model: Column, agent_provider: Column) -> tuple[Column, Col
     pick, name = F.when(F.lit(False), ""), model
     for p in ["openrouter", "bailian", "zai"]:
         pick = pick.when(model.startswith(p + "/"), p)
-        name = F.when(model.startswith(p + "/"), F.substring(model, len(p) + 2, 1000)).otherwise(name)
+        name = F.when(model.startswith(p + "/"), F.regexp_replace(model, f"^{p}/", "")).otherwise(name)
     provider = (pick.when(model.startswith("glm-"), "zai")
                 .when(model.startswith("qwen") | model.startswith("kimi") | model.startswith("MiniMax"),
                       "bailian")
@@ -120,7 +120,7 @@ def join_pricing(df: DataFrame, prices: DataFrame, model: str = "routed_model")
     """Exact model, else without its ``openrouter/`` prefix, else with it, else free."""
     prefix = "openrouter/"
     keys = [F.col(model),
-            F.when(F.col(model).startswith(prefix), F.substring(F.col(model), len(prefix) + 1, 1000)),
+            F.when(F.col(model).startswith(prefix), F.regexp_replace(F.col(model), f"^{prefix}", "")),
             F.when(~F.col(model).startswith(prefix), F.concat(F.lit(prefix), F.col(model)))]
     d = df
     for i, k in enumerate(keys):

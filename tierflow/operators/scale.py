@@ -9,6 +9,7 @@ once, on (key, bucket).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,15 @@ BUCKET = "__bucket"
 
 
 def scratch_dir(spark) -> str:
-    """Shared scratch folder of the cluster; a temporary one only where none is named."""
+    """Scratch folder that the cluster names in spark.checkpoint.dir.
+
+    Without that setting only a session with all its tasks on this machine gets one; elsewhere executors would each write to a
+    disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]-]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tierflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/tierflow/{uuid.uuid4().hex}"

@@ -223,17 +223,29 @@ def p7(spark, sf):
                     F.col("context")["k"].alias("k"), "anonymized", *[f"n_{c}" for c in RD.CATEGORIES])
 
 
-@query("u1_merge_datasets", f"""WITH {redact_sql()}, src AS (SELECT id, CASE WHEN id < 1000000000000 THEN 'documents' ELSE 'turns' END AS source FROM prompts), r AS ({_rank_sql('src', '')})
-  SELECT r.id, source, md5(text) AS text_md5 FROM r JOIN red USING (id) WHERE rk <= 700""")
-def u1(spark, sf):
+def _merged(spark, sf, cap):
     p = A.prompts(spark, sf)
     big = 1000000000000
     a = p.where(F.col("id") < big).withColumn("source", F.lit("documents"))
     b = p.where(F.col("id") >= big).select("text", "id", F.lit("turns").alias("source"))
-    d = D.merge_datasets([a, b], 700, redacted=False)
+    d = D.merge_datasets([a, b], cap, redacted=False)
     return RD.redact(d, rules=ASCII_RULES).select("id", "source", F.md5("text").alias("text_md5"))
 
 
+_SOURCED = "src AS (SELECT id, CASE WHEN id < 1000000000000 THEN 'documents' ELSE 'turns' END AS source FROM prompts)"
+
+
+@query("u1_merge_datasets", f"""WITH {redact_sql()}, {_SOURCED} SELECT src.id, source, md5(text) AS text_md5 FROM src JOIN red USING (id)""")
+def u1(spark, sf):
+    return _merged(spark, sf, None)
+
+
+@query("u1_merge_datasets_capped", f"""WITH {redact_sql()}, {_SOURCED}, r AS ({_rank_sql('src', '')})
+  SELECT r.id, source, md5(text) AS text_md5 FROM r JOIN red USING (id) WHERE rk <= 700""")
+def u1_capped(spark, sf):
+    return _merged(spark, sf, 700)
+
+
 @query("u2_training_union", f"""WITH {GEN}, prompts AS (SELECT doc_id AS id, text FROM documents), {P.LABEL_SQL} SELECT 'gpd-synthetic' AS source, label, count(*) AS n FROM gen GROUP BY 2
   UNION ALL SELECT 'instructions', label, count(*) FROM l1 GROUP BY 2""")
 def u2(spark, sf):

@@ -550,7 +550,7 @@ def p6(spark, sf):
 
 # --- retrieval -----------------------------------------------------------------------------
 def retrieve_sql(k, name="got", distinct=False, now=None, ttl=None, n=I.MAX_ENTRIES):
-    live = f"SELECT * FROM (SELECT * FROM idx ORDER BY created DESC, entry_id DESC LIMIT {n})" + (f" WHERE {now} - created < {ttl}" if now else "")
+    live = f"SELECT * FROM (SELECT * FROM idx ORDER BY created DESC, entry_id DESC LIMIT {n or 1 << 60})" + (f" WHERE {now} - created < {ttl}" if now else "")
     return f"""{Q.INDEX}, live AS ({live}),
 lt AS (SELECT entry_id, created, unnest(list_distinct(list_concat(keywords, tags))) AS term FROM live),
 rq AS (SELECT conv_id*100+turn AS query_id, text, {Q.kw('text', distinct)} AS keywords FROM conversations WHERE role='user'),

@@ -74,15 +74,16 @@ def s3(spark, sf):
 def s5(spark, sf):
     """Pages written as files in two folders, one of them excluded."""
     path = scratch_dir(spark)
-    d = A.text_table(spark, sf, "pages").select(F.regexp_replace("html", "[\r\n]", " ").alias("value"),
+    d = A.text_table(spark, sf, "pages").select("page_id", F.regexp_replace("html", "[\r\n]", " ").alias("value"),
                                            F.when(F.col("page_id") % 5 == 0, "node_modules").otherwise("src").alias("folder"))
     for folder in ("src", "node_modules"):
-        d.where(F.col("folder") == folder).select("value").repartition(8).write.text(f"{path}/{folder}")
-    c = S_.scan_corpus(spark, path, max_kb=1 << 20)
+        part = d.where(F.col("folder") == folder).repartition(8, F.col("page_id") % 8).sortWithinPartitions("page_id")
+        part.select("value").write.text(f"{path}/{folder}")
+    c = S_.scan_corpus(spark, path)
     return c.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("raw_text")).alias("chars"))
 
 
-@query("s6_session_turns", "SELECT 'sess_'||conv_id||'_'||lpad(CAST(turn AS VARCHAR),4,'0') AS id, md5(substr(text,1,4000)) AS text_md5 FROM conversations WHERE role='user' AND turn<500 AND length(text)>=10")
+@query("s6_session_turns", "SELECT 'sess_'||conv_id||'_'||lpad(CAST(turn AS VARCHAR),4,'0') AS id, md5(text) AS text_md5 FROM conversations WHERE role='user' AND length(text)>=10")
 def s6(spark, sf):
     return S_.session_turns(A.text_table(spark, sf, "conversations")).select("id", F.md5("raw_text").alias("text_md5"))
 

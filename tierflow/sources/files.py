@@ -38,29 +38,32 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLE_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
-def scan_corpus(spark: SparkSession, root: str, exclude=V.SCAN_EXCLUDED_DIRS, max_kb: int = 512) -> DataFrame:
-    """Text chunks of the files below a folder. Size, folder and suffix are checked on the
+def scan_corpus(spark: SparkSession, root: str, exclude=V.SCAN_EXCLUDED_DIRS, max_kb: int | None = None) -> DataFrame:
+    """Text chunks of the files below a folder. Folder, suffix and size (if ``max_kb`` is given) are checked on the
     file listing, before contents are read."""
     parts = F.split("path", "/")
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     f = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-         .where((F.col("length") <= max_kb * 1024)
+         .where((F.lit(True) if max_kb is None else F.col("length") <= max_kb * 1024)
                 & ~F.arrays_overlap(parts, F.array(*[F.lit(e) for e in exclude]))
                 & ~suffix.isin(V.SCAN_BINARY_SUFFIXES)))
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     f = f.select("path", suffix.alias("suffix"), text.alias("text"))
     c = T.chunk_text(f, "text", "suffix")
     return c.select(T.file_sample_id(F.col("path"), F.col("chunk_pos")).alias("id"),
-                    F.lit("workspace-scanner").alias("source"), F.substring("chunk", 1, 4000).alias("raw_text"),
+                    F.lit("workspace-scanner").alias("source"), F.col("chunk").alias("raw_text"),
                     F.create_map(F.lit("file"), F.col("path"), F.lit("chunk"), F.col("chunk_pos").cast("string"))
                     .alias("context"))
 
 
-def session_turns(conv: DataFrame, max_turns: int = 500) -> DataFrame:
-    """User turns of transcripts as samples; ``turn`` counts all messages from 0."""
-    d = conv.where((F.col("turn") < max_turns) & (F.col("role") == "user") & (F.length("text") >= 10))
+def session_turns(conv: DataFrame, max_turns: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """User turns of transcripts as samples; ``turn`` counts all messages from 0. Whole turns unless the limits are given."""
+    d = conv.where((F.col("role") == "user") & (F.length("text") >= 10))
+    if max_turns is not None:
+        d = d.where(F.col("turn") < max_turns)
+    text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
     return d.select(F.format_string("sess_%s_%04d", F.col("conv_id").cast("string"), F.col("turn")).alias("id"),
-                    F.lit("session-miner").alias("source"), F.substring("text", 1, 4000).alias("raw_text"),
+                    F.lit("session-miner").alias("source"), text.alias("raw_text"),
                     "conv_id", "turn")
 
 
