@@ -77,23 +77,24 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
 def fit(docs: list[str], labels: np.ndarray, steps: int = STEPS, rare: int = RARE,
         decay: float = DECAY) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the documents' log loss under noisy-or."""
-    reader = _Reader()
-    slot, sentence, first = (np.zeros(0, np.int64),) * 2 + (np.zeros(1, np.int64),)
-    parts = []
-    for a, b in balanced([len(t) for t in docs], BATCH_BYTES):
-        s, n, f = reader.read(docs[a:b])
-        parts.append((s.astype(np.int64), n + first[-1]))
-        first = np.concatenate([first, f[1:] + first[-1]])
     w, bias = np.zeros(SLOTS), -5.0
     if not docs or not labels.any():
         return w, -30.0
-    slot, sentence = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    reader, parts, first = _Reader(), [], np.zeros(1, np.int64)
+    held = np.zeros(SLOTS, np.int64)  # documents that hold a slot
+    for a, b in balanced([len(t) for t in docs], BATCH_BYTES):
+        s, n, f = reader.read(docs[a:b])
+        doc = np.searchsorted(f, n, "right") - 1
+        held += np.bincount(np.unique(doc * SLOTS + s) % SLOTS, minlength=SLOTS)
+        parts.append((s.astype(np.int32), (n + first[-1]).astype(np.int32)))
+        first = np.concatenate([first, f[1:] + first[-1]])
+    del reader
+    common = held >= rare
+    names, number = np.flatnonzero(common), (np.cumsum(common) - 1).astype(np.int32)
+    slot = np.concatenate([number[s[common[s]]] for s, _ in parts])
+    sentence = np.concatenate([n[common[s]] for s, n in parts])
+    del parts
     doc_of = np.repeat(np.arange(len(docs)), np.diff(first))
-    seen = np.unique(np.stack([doc_of[sentence], slot]), axis=1)[1]
-    common = np.bincount(seen, minlength=SLOTS) >= rare
-    keep = common[slot]
-    slot, sentence = slot[keep], sentence[keep]
-    names, slot = np.unique(slot, return_inverse=True)
     total, y = int(first[-1]), labels.astype(float)
     v = np.zeros(len(names) + 1)
     v[-1] = bias
