@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tierflow import vocab as V
-from tierflow.functions.num import rnd
+from tierflow.functions.num import even
 from tierflow.functions import text as T
 
 CODE = (rf"```|`[^`]+`|def\s+{T.WORD}|const\s+{T.WORD}|function\s+{T.WORD}|import\s+")
@@ -48,7 +48,7 @@ def prompt_features(df: DataFrame, text: str = "text", rounded: bool = True) ->
     d = _counts(_tokens(df, text), V.TECH_WORDS, V.VAGUE_WORDS)
     d = (d.withColumn("__code", t.rlike(CODE)).withColumn("__q", t.contains("?"))
          .withColumn("__imp", T.starts_with_any(low, V.IMPERATIVES)))
-    keep = (lambda c: rnd(c, 3)) if rounded else (lambda c: c)
+    keep = (lambda c: even(c, 3)) if rounded else (lambda c: c)
     active = (F.col("__code").cast("int") + F.col("__q").cast("int") + F.col("__imp").cast("int")
               + (F.col("__tech") >= 3).cast("int"))
     return _finish(d, cols, [
@@ -95,7 +95,7 @@ def sample_features(df: DataFrame, text: str = "text") -> DataFrame:
     return _finish(d, cols, [
         F.col("__wc").cast("double").alias("word_count"),
         T.sentence_count(t).cast("double").alias("sentence_count"),
-        rnd(_ratio(F.col("__chars")), 2).alias("avg_word_length"),
+        even(_ratio(F.col("__chars")), 2).alias("avg_word_length"),
         t.rlike(SAMPLE_CODE).alias("has_code"),
         t.contains("?").alias("has_question"),
         T.starts_with_any(low, V.SAMPLE_IMPERATIVES).alias("has_imperative"),
@@ -107,8 +107,8 @@ def sample_features(df: DataFrame, text: str = "text") -> DataFrame:
         low.rlike("the file|this project|my code|our system|the config|the database")
         .alias("requires_context"),
         language.alias("code_language"),
-        rnd(_ratio(F.col("__tech")), 3).alias("domain_specificity"),
-        rnd(_ratio(F.col("__vague")), 3).alias("ambiguity_score"),
+        even(_ratio(F.col("__tech")), 3).alias("domain_specificity"),
+        even(_ratio(F.col("__vague")), 3).alias("ambiguity_score"),
     ])
 
 
@@ -120,7 +120,7 @@ def feedback_features(df: DataFrame, text: str = "text") -> DataFrame:
     return _finish(d, cols, [
         F.col("__wc").cast("double").alias("word_count"),
         T.sentence_count(t).cast("double").alias("sentence_count"),
-        rnd(_ratio(F.col("__chars")), 2).alias("avg_word_length"),
+        even(_ratio(F.col("__chars")), 2).alias("avg_word_length"),
         t.rlike(FEEDBACK_CODE).alias("has_code"),
         t.contains("?").alias("has_question"),
         T.starts_with_any(low, V.FEEDBACK_IMPERATIVES).alias("has_imperative"),
@@ -130,7 +130,7 @@ def feedback_features(df: DataFrame, text: str = "text") -> DataFrame:
         T.any_of(low, V.FEEDBACK_DESIGN_PHRASES).alias("technical_design"),
         low.rlike(r"first|then|next|after that|finally|step\s*[0-9]").alias("multi_step"),
         low.rlike("the file|this project|my code|our system").alias("requires_context"),
-        rnd(_ratio(F.col("__tech")), 3).alias("domain_specificity"),
+        even(_ratio(F.col("__tech")), 3).alias("domain_specificity"),
         F.lit(0.1).alias("ambiguity_score"),
     ])
 
@@ -149,14 +149,14 @@ def generator_features(df: DataFrame, text: str = "text", label: str = "label")
     return _finish(d, cols, [
         F.col("__wc").cast("double").alias("word_count"),
         T.sentence_count(t).cast("double").alias("sentence_count"),
-        rnd(_ratio(F.col("__chars")), 2).alias("avg_word_length"),
+        even(_ratio(F.col("__chars")), 2).alias("avg_word_length"),
         T.any_of(t, V.GENERATOR_CODE_MARKERS).alias("has_code"),
         (t.contains("?") | F.col("__ask")).alias("has_question"),
         T.starts_with_any(low, V.GENERATOR_IMPERATIVES).alias("has_imperative"),
         F.col("__tech").cast("double").alias("technical_terms"),
         (F.col("__ask") & (F.col("__tech") > 0)).alias("question_technical"),
         language.alias("code_language"),
-        rnd(_ratio(F.col("__tech")), 3).alias("domain_specificity"),
+        even(_ratio(F.col("__tech")), 3).alias("domain_specificity"),
         F.when(F.col(label) == "trivial", 0.1).otherwise(0.2).alias("ambiguity_score"),
     ])
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tierflow import vocab as V
-from tierflow.functions.num import rnd
+from tierflow.functions.num import even, rnd
 from tierflow.functions import features as X
 
 
@@ -146,7 +146,7 @@ def cascade_score(df: DataFrame, weights=V.CASCADE_WEIGHTS, code_slot: str = "ze
     if not weights or any(t not in weights for t in V.CASCADE_TIERS):
         return (df.withColumn("score", heuristic_score())
                 .withColumn("tier", tier_classic(F.col("score")))
-                .withColumn("confidence", rnd("score", 4))
+                .withColumn("confidence", even("score", 4))
                 .withColumn("method", F.lit("heuristic")))
     # separate columns: items of an array column would be inlined into every use
     d = df.select("*", heuristic_score().alias("__h"),
@@ -159,9 +159,9 @@ def cascade_score(df: DataFrame, weights=V.CASCADE_WEIGHTS, code_slot: str = "ze
     win = F.coalesce(*[F.when(F.col("__pick") == i, F.col(f"__d{i}")) for i in range(4)])
     mid = F.element_at(F.array(*[F.lit(V.TIER_MIDPOINTS[t]) for t in V.TIERS[:4] + ["extreme"]]), F.col("__pick") + 1)
     conf = F.when(F.col("__pick") == 4, 0.5).otherwise(F.least(sigmoid(win), F.lit(0.99)))
-    return (d.withColumn("score", rnd(clamp(0.6 * F.col("__h") + 0.4 * mid), 4))
+    return (d.withColumn("score", even(clamp(0.6 * F.col("__h") + 0.4 * mid), 4))
             .withColumn("tier", tier_classic(F.col("score")))
-            .withColumn("confidence", rnd(conf, 4))
+            .withColumn("confidence", even(conf, 4))
             .withColumn("method", F.lit("cascade"))
             .drop("__h", "__pick", *[f"__l{i}" for i in range(5)], *[f"__d{i}" for i in range(4)]))
 

@@ -163,7 +163,7 @@ def chunk_text(df, text: str = "text", suffix: str | None = None, kind: str | No
     """One row per chunk: code at definitions, markdown at headings, else fixed windows.
 
     ``kind`` fixes the rule for all rows; ``suffix`` names a column with the file suffix.
-    Chunks of 50 characters or fewer go; a text without chunks keeps its first window.
+    Chunks of 50 characters or fewer go; a text without a longer one keeps all its windows.
     """
     t = F.col(text)
     code = F.split(t, r"(?=(?:def |async def |function |class |fn |func |"
@@ -183,6 +183,6 @@ def chunk_text(df, text: str = "text", suffix: str | None = None, kind: str | No
                        lambda p: strip(p))
     chunks = df.withColumn("__chunks", kept).withColumn(
         "__chunks", F.when(F.size("__chunks") > 0, F.col("__chunks"))
-        .otherwise(F.array(F.substring(t, 1, window))))
+        .otherwise(windows))
     names = [F.col(c) for c in df.columns]
     return chunks.select(*names, F.posexplode("__chunks").alias("chunk_pos", "chunk"))

@@ -35,8 +35,9 @@ def route(df: DataFrame, route_table: DataFrame, tier: str = "tier") -> DataFram
 
 
 def override_routes(route_table: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Overrides replace known tiers as a whole; unknown tiers are ignored."""
-    o = overrides.select("tier", F.struct("model", "provider", "max_tokens").alias("o"))
+    """Overrides replace known tiers as a whole; unknown tiers are ignored, and of repeated ones the largest is taken."""
+    o = (overrides.where(F.col("tier").isin(V.TIERS)).groupBy("tier")
+         .agg(F.max(F.struct("model", "provider", "max_tokens")).alias("o")))  # a row per tier, so small
     names = ["model", "provider", "max_tokens"]
     return (route_table.join(F.broadcast(o), "tier", "left")
             .select("tier", *[F.when(F.col("o").isNotNull(), F.col("o")[n]).otherwise(F.col(n)).alias(n)

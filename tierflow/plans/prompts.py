@@ -307,7 +307,7 @@ def x6(spark, sf):
 
 
 @query("x6_heuristic_fallback", f"""WITH {Q.PROMPTS}, {Q.f1()}, h AS (SELECT id, {Q.heuristic()} AS score FROM f1)
-  SELECT id, round(score,6) AS score, round(score,4) AS confidence, {Q.tier_of('score', V.CLASSIC_BOUNDS)} AS tier FROM h""")
+  SELECT id, round(score,6) AS score, {Q.even('score', 4)} AS confidence, {Q.tier_of('score', V.CLASSIC_BOUNDS)} AS tier FROM h""")
 def x6_fallback(spark, sf):
     d = S.cascade_score(X.prompt_features(A.prompts(spark, sf)), weights={})
     return d.select("id", rnd("score", 6).alias("score"), "confidence", "tier")

@@ -183,12 +183,21 @@ def rnd(e: str, n: int = 6) -> str:
     return f"round(CAST({e} AS DOUBLE),{n})"
 
 
+def even(e: str, n: int) -> str:
+    """Python's ``round``, as ``functions.num.even`` does it."""
+    v, s = f"CAST({e} AS DOUBLE)", f"{10 ** n}::DOUBLE"
+    p, c = f"({v}*{s})", f"({v}*134217729::DOUBLE)"
+    h = f"({c}-({c}-{v}))"
+    lost, tie = f"(({h}*{s}-{p})+({v}-{h})*{s})", f"{p}-floor({p})=0.5"
+    return f"(CASE WHEN {tie} AND {lost}>0 THEN floor({p})+1 WHEN {tie} AND {lost}<0 THEN floor({p}) ELSE round_even({p},0) END/{s})"
+
+
 STEPS = r"first|then|next|finally|step\s*[0-9]"
 NEEDS = r"the file|this project|my code|our system|given that|consider"
 
 
 def f1(src="prompts", rounded=True, name="f1") -> str:
-    r = (lambda e: f"round({e},3)") if rounded else (lambda e: e)
+    r = (lambda e: even(e, 3)) if rounded else (lambda e: e)
     code = rf"```|`[^`]+`|def\s+{WORD}|const\s+{WORD}|function\s+{WORD}|import\s+"
     return f"""{name}_t AS (SELECT *, lower(text) AS low, regexp_extract_all(lower(text),'{WORD}+') AS words FROM {src}),
 {name}_c AS (SELECT *, len(words) AS wc, length(array_to_string(words,'')) AS chars,
@@ -214,7 +223,7 @@ def f2(src="prompts", name="f2") -> str:
 {name}_c AS (SELECT *, len(words) AS wc, length(array_to_string(words,'')) AS chars,
    {n_in('words', V.SAMPLE_TECH_WORDS)} AS tech, {n_in('words', V.SAMPLE_VAGUE_WORDS)} AS vague FROM {name}_t),
 {name} AS (SELECT * EXCLUDE (low, words, wc, chars, tech, vague), wc::DOUBLE AS word_count,
-   {sentences('text')}::DOUBLE AS sentence_count, round(chars/greatest(wc,1)::DOUBLE,2) AS avg_word_length,
+   {sentences('text')}::DOUBLE AS sentence_count, {even('chars/greatest(wc,1)::DOUBLE', 2)} AS avg_word_length,
    {rx('text', code)} AS has_code, contains(text,'?') AS has_question,
    {rx('low', '^' + alt(V.SAMPLE_IMPERATIVES))} AS has_imperative, tech::DOUBLE AS technical_terms,
    (contains(text,'?') AND tech>0) AS question_technical,
@@ -226,8 +235,8 @@ def f2(src="prompts", name="f2") -> str:
         WHEN {rx('low', rf'{b}fn\s+{WORD}')} OR contains(low,'rust') THEN 'rust'
         WHEN {rx('low', rf'{b}func\s+{WORD}')} OR contains(low,'golang') THEN 'go'
         WHEN {rx('low', sel)} THEN 'sql' ELSE 'unknown' END AS code_language,
-   round(tech/greatest(wc,1)::DOUBLE,3) AS domain_specificity,
-   round(vague/greatest(wc,1)::DOUBLE,3) AS ambiguity_score FROM {name}_c)"""
+   {even('tech/greatest(wc,1)::DOUBLE', 3)} AS domain_specificity,
+   {even('vague/greatest(wc,1)::DOUBLE', 3)} AS ambiguity_score FROM {name}_c)"""
 
 
 def f3(src="prompts", name="f3") -> str:
@@ -236,14 +245,14 @@ def f3(src="prompts", name="f3") -> str:
 {name}_c AS (SELECT *, len(words) AS wc, length(array_to_string(words,'')) AS chars,
    {n_in('words', V.FEEDBACK_TECH_WORDS)} AS tech FROM {name}_t),
 {name} AS (SELECT * EXCLUDE (low, words, wc, chars, tech), wc::DOUBLE AS word_count,
-   {sentences('text')}::DOUBLE AS sentence_count, round(chars/greatest(wc,1)::DOUBLE,2) AS avg_word_length,
+   {sentences('text')}::DOUBLE AS sentence_count, {even('chars/greatest(wc,1)::DOUBLE', 2)} AS avg_word_length,
    {rx('text', code)} AS has_code, contains(text,'?') AS has_question,
    {rx('low', '^' + alt(V.FEEDBACK_IMPERATIVES))} AS has_imperative, tech::DOUBLE AS technical_terms,
    (contains(text,'?') AND tech>0) AS question_technical,
    {has('low', V.FEEDBACK_ARCH_PHRASES)} AS architecture, {has('low', V.FEEDBACK_DESIGN_PHRASES)} AS technical_design,
    {rx('low', STEPS + '|after that')} AS multi_step,
    {rx('low', 'the file|this project|my code|our system')} AS requires_context,
-   round(tech/greatest(wc,1)::DOUBLE,3) AS domain_specificity, 0.1::DOUBLE AS ambiguity_score FROM {name}_c)"""
+   {even('tech/greatest(wc,1)::DOUBLE', 3)} AS domain_specificity, 0.1::DOUBLE AS ambiguity_score FROM {name}_c)"""
 
 
 def f4(src, name="f4") -> str:
@@ -252,11 +261,11 @@ def f4(src, name="f4") -> str:
 {name}_c AS (SELECT *, len(words) AS wc, length(array_to_string(words,'')) AS chars,
    {n_in('words', V.GENERATOR_TECH_WORDS)} AS tech, list_has_any(words,{lst(V.GENERATOR_INTERROGATIVES)}) AS ask FROM {name}_t),
 {name} AS (SELECT * EXCLUDE (low, words, wc, chars, tech, ask), wc::DOUBLE AS word_count,
-   {sentences('text')}::DOUBLE AS sentence_count, round(chars/greatest(wc,1)::DOUBLE,2) AS avg_word_length,
+   {sentences('text')}::DOUBLE AS sentence_count, {even('chars/greatest(wc,1)::DOUBLE', 2)} AS avg_word_length,
    {has('text', V.GENERATOR_CODE_MARKERS)} AS has_code, (contains(text,'?') OR ask) AS has_question,
    {rx('low', '^' + alt(V.GENERATOR_IMPERATIVES))} AS has_imperative, tech::DOUBLE AS technical_terms,
    (ask AND tech>0) AS question_technical, CASE {langs} ELSE 'unknown' END AS code_language,
-   round(tech/greatest(wc,1)::DOUBLE,3) AS domain_specificity,
+   {even('tech/greatest(wc,1)::DOUBLE', 3)} AS domain_specificity,
    CASE WHEN label='trivial' THEN 0.1 ELSE 0.2 END::DOUBLE AS ambiguity_score FROM {name}_c)"""
 
 
@@ -375,8 +384,8 @@ def cascade(src="f1", name="casc") -> str:
     pick = " ".join(f"WHEN l{i}-l{i+1} > 0 THEN {V.TIER_MIDPOINTS[V.TIERS[i]]}" for i in range(4))
     conf = " ".join(f"WHEN l{i}-l{i+1} > 0 THEN least(1.0/(1.0+exp(-(l{i}-l{i+1}))),0.99::DOUBLE)" for i in range(4))
     return f"""{name}_l AS (SELECT *, {heuristic()} AS h, {logits} FROM {src}),
-{name}_s AS (SELECT *, round({clamp(f'0.6::DOUBLE*h+0.4::DOUBLE*(CASE {pick} ELSE 0.86 END)::DOUBLE')},4) AS score,
-   round(CAST(CASE {conf} ELSE 0.5 END AS DOUBLE),4) AS confidence FROM {name}_l),
+{name}_s AS (SELECT *, {even(clamp(f'0.6::DOUBLE*h+0.4::DOUBLE*(CASE {pick} ELSE 0.86 END)::DOUBLE'), 4)} AS score,
+   {even(f'CASE {conf} ELSE 0.5 END', 4)} AS confidence FROM {name}_l),
 {name} AS (SELECT *, {tier_of('score', V.CLASSIC_BOUNDS)} AS tier FROM {name}_s)"""
 
 
