@@ -15,6 +15,17 @@ _MESSAGE = "b int, s int, round int, payload binary"
 _MESSAGE_ARROW = pa.schema([("b", pa.int32()), ("s", pa.int32()), ("round", pa.int32()), ("payload", pa.binary())])
 
 
+_held: dict = {}
+
+
+def held(name: str, make):
+    """What a worker keeps between tasks: of one operator at a time, so that stages that follow each other don't add up."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def doc_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id bigint, text string) of every row, whatever else the table holds; a null text is empty."""
     return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"),

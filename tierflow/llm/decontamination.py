@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tierflow.llm.common import held
 from tierflow.llm.tokens import _Numbers, balanced, _room
 from tierflow.llm.windows import grams
 
@@ -152,13 +153,11 @@ class Index:
         return out
 
 
-_built: dict[str, Index] = {}
-
-
 def _index(name: str, items, window: int) -> Index:
-    if name not in _built:
-        _built[name] = Index(items, window)
-    return _built[name]
+    built = held("decontamination", dict)
+    if (name, window) not in built:
+        built[name, window] = Index(items, window)
+    return built[name, window]
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):

@@ -15,24 +15,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tierflow.llm.common import doc_rows, two_rounds
+from tierflow.llm.common import doc_rows, held, two_rounds
 from tierflow.llm.windows import SharedWindows, kept
 
 WINDOW = 20
 MEMO = 500_000
-_memo: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes; known words are looked up, in a table that is emptied when full."""
-    get = _memo.get
+    memo = held("words", dict)
+    get = memo.get
     out = [get(w) for w in words]
     if None in out:
-        if len(_memo) > MEMO:
-            _memo.clear()
+        if len(memo) > MEMO:
+            memo.clear()
         for i, (h, w) in enumerate(zip(out, words)):
             if h is None:
-                out[i] = _memo[w] = xxhash.xxh64_intdigest(w)
+                out[i] = memo[w] = xxhash.xxh64_intdigest(w)
     return np.array(out, np.uint64)
 
 

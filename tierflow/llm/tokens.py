@@ -15,6 +15,8 @@ from itertools import chain
 
 import numpy as np
 
+from tierflow.llm.common import held
+
 MEMO = 1_000_000  # chunks a worker remembers; beyond that it starts anew
 #: White space or control characters beyond ASCII's six; a cut never follows one.
 _ODD = "\x00-\x08\x0e-\x1f\x7f-\xa0̀-ͯ ᠎ -‏ -  -⁤　﻿"
@@ -119,14 +121,9 @@ def _room(array: np.ndarray, n: int) -> np.ndarray:
     return array if n <= len(array) else np.concatenate([array, np.zeros((max(n, 2 * len(array)) - len(array), *array.shape[1:]), array.dtype)])
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    return held(path, lambda: Encoder(path))
 
 
 PIECE_CHARS = 1 << 20

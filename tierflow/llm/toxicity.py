@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tierflow.llm.common import doc_rows
+from tierflow.llm.common import doc_rows, held
 from tierflow.llm.tokens import _Numbers, _room, balanced
 
 SAMPLE = 10_000  # labelled documents that a fit reads, about
@@ -137,14 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return (np.frombuffer(got[0]["w"], "<f4").astype(float), got[0]["bias"]) if got else (np.zeros(SLOTS), -30.0)
 
 
-_reader: list[_Reader] = []
-
-
 def _judge(texts: list[str], w: np.ndarray, bias: float):
     """Score of each text, its sentences' probabilities, and where they begin."""
-    if not _reader:
-        _reader.append(_Reader())
-    slot, sentence, first = _reader[0].read(texts, w != 0)
+    slot, sentence, first = held("toxicity", _Reader).read(texts, w != 0)
     z = np.bincount(sentence, w[slot], int(first[-1])) + bias
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     soft = np.logaddexp(0, z)
