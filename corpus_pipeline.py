@@ -21,8 +21,8 @@ def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that occurred before, or nearly so; every document stays, n_chars follows the text."""
-    out = line_dedup.line_dedup(docs)
+    """Cuts lines that occurred before (of any length), or nearly so (30 bytes or more); every document stays, n_chars follows the text."""
+    out = line_dedup.line_dedup(docs, exact=1)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out

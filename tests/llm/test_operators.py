@@ -150,6 +150,19 @@ def test_line_dedup(docs):
           for (i, t), g in zip(DOCS, gone)])
 
 
+def test_line_dedup_of_short_lines(spark, docs):
+    data = [(2, "All rights reserved.\nown\n\nCookies\n\nCookies"), (1, "x\nAll rights reserved."), (3, "Cookie\n\u00e9\nx\n" + LINE), (None, "\u00e9\n" + LINE.replace("many", "mant"))]
+    out = line_dedup.line_dedup(spark.createDataFrame(data, SCHEMA).repartition(3), removed="n", exact=1)
+    assert {r["doc_id"]: (r["text"], r["n"]) for r in out.collect()} == {
+        1: ("x\nAll rights reserved.", 0), 2: ("own\n\nCookies\n", 2), 3: ("Cookie\n\u00e9\n" + LINE, 1), None: ("", 2)}
+    first = {}
+    for i, t in DOCS:
+        for k, x in enumerate((t or "").split("\n")):
+            first[x] = min(first.get(x, (brute.order(i), k)), (brute.order(i), k))
+    gone = [g | {k for k, x in enumerate((t or "").split("\n")) if x and first[x] < (brute.order(i), k)} for (i, t), g in zip(DOCS, brute.lines_removed(DOCS))]
+    same(rows(line_dedup.line_dedup(docs, removed="n", exact=1), "doc_id", "n"), [(i, len(g)) for (i, _), g in zip(DOCS, gone)])
+
+
 def test_suffix_dedup(docs):
     gone = brute.cut_windows(DOCS, lambda t: (t or "").encode(), 50, False)
     got = suffix_dedup.suffix_dedup(docs).withColumn("n", F.size("spans"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from tierflow.llm.common import encode, ids, split_by, two_rounds
 
 EDITS = 2
-LEAST = 30  # shorter lines (bytes) are kept
+LEAST = 30  # shorter lines (bytes) have no near match
 PAIRS = 1 << 17  # verified at a time
 CELLS = 1 << 24  # bytes of padded lines held at a time
 
@@ -190,15 +190,15 @@ class _Lines:
     shards = 1
     empty = None
 
-    def __init__(self, edits: int, least: int):
-        self.edits, self.least = edits, least
+    def __init__(self, edits: int, least: int, exact: int):
+        self.edits, self.least, self.exact = edits, least, exact
 
     def read(self, table):
         names, texts = ids(table["doc_id"]), [t.split(b"\n") for t in encode(table)]
         first: dict[bytes, tuple[int, int]] = {}
         for name, lines in zip(names.tolist(), texts):
             for i, t in enumerate(lines):
-                if len(t) >= self.least and (name, i) < first.get(t, (1 << 63, 0)):
+                if len(t) >= self.exact and (name, i) < first.get(t, (1 << 63, 0)):
                     first[t] = (name, i)
         return names, texts, dict(sorted(first.items()))
 
@@ -223,8 +223,9 @@ class _Lines:
         place = list(first.values())
         at = np.array([int.from_bytes(d[:6], "little") % self.shards for d in digest], np.int64)
         seen = {s: ([digest[i] for i in own], [place[i] for i in own]) for s, own in split_by(at, self.shards)}
-        shard, key, of, role = self.entries(first)
-        short = np.array([int.from_bytes(d[8:12], "little") for d in digest], np.uint32)
+        long = [i for i, t in enumerate(first) if len(t) >= self.least]
+        shard, key, of, role = self.entries([t for t in first if len(t) >= self.least])
+        short = np.array([int.from_bytes(digest[i][8:12], "little") for i in long], np.uint32)
         sent = {s: (key[own], short[of[own]], role[own]) for s, own in split_by(shard, self.shards)}
         none = (np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, bool))
         for s in sorted({*seen, *sent}):
@@ -249,7 +250,7 @@ class _Lines:
     def second(self, table, answers):
         _, _, first = self.read(table)
         later = self.later(answers)
-        own = [(t, p) for t, p in first.items() if xxhash.xxh128_digest(t) not in later]
+        own = [(t, p) for t, p in first.items() if len(t) >= self.least and xxhash.xxh128_digest(t) not in later]
         shard, key, of, role = self.entries([t for t, _ in own])
         live = np.sort(np.concatenate([(np.uint64(s) << np.uint64(32)) | a[0].astype(np.uint64) for s, a in answers] or [np.zeros(0, np.uint64)]))
         wide = (shard.astype(np.uint64) << np.uint64(32)) | key
@@ -279,7 +280,7 @@ class _Lines:
         gone = {t: (d := xxhash.xxh128_digest(t)) in later or d in near for t in first}
         kept, total, removed = [], [], []
         for name, lines in zip(names.tolist(), texts):
-            left = [t for i, t in enumerate(lines) if len(t) < self.least or (first[t] == (name, i) and not gone[t])]
+            left = [t for i, t in enumerate(lines) if len(t) < self.exact or (first[t] == (name, i) and not gone[t])]
             kept.append(b"\n".join(left).decode())
             total.append(len(lines))
             removed.append(len(lines) - len(left))
@@ -287,18 +288,20 @@ class _Lines:
         return out.append_column("__lines", pa.array(total, pa.int64())).append_column("__removed", pa.array(removed, pa.int64()))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, lines: str | None = None, removed: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, lines: str | None = None, removed: str | None = None,
+               exact: int | None = None) -> DataFrame:
     """``docs`` with every repeated or nearly repeated line cut from ``text``, all other columns unchanged, one row per row.
 
     A line of at least ``least`` UTF-8 bytes goes if an equal line, or one within ``edits`` byte edits, occurs before it (smaller
-    doc_id, or the same document and an earlier line); lines are judged on the input and split at "\\n" only. ``lines`` and ``removed`` name
+    doc_id, or the same document and an earlier line); one of at least ``exact`` bytes (default ``least``) goes if an equal line does.
+    An empty line stays unless ``exact`` is 0. Lines are judged on the input and split at "\\n" only. ``lines`` and ``removed`` name
     columns for the counts. A null text becomes empty (one empty line); a null doc_id counts as larger than all others; rows with one doc_id
     are one document, so equal lines at equal places in them stay; an empty table gives no rows; columns of other
     names pass through.
     """
     rows = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", `__lines` bigint, `__removed` bigint"
-    out = two_rounds(rows, _Lines(edits, least), schema)
+    out = two_rounds(rows, _Lines(edits, least, least if exact is None else exact), schema)
     for new, old in ((lines, "__lines"), (removed, "__removed")):
         out = out.withColumnRenamed(old, new) if new else out.drop(old)
     return out

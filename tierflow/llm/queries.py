@@ -42,7 +42,16 @@ def op3_simhash_near_dedup(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), lines="n_lines", removed="n_removed")
+    return _lines(spark, sf_dir)
+
+
+def op4_every_line_dedup(spark, sf_dir):
+    """As op4_line_dedup, and equal lines of any length go, as in the pipeline."""
+    return _lines(spark, sf_dir, exact=1)
+
+
+def _lines(spark, sf_dir, **how):
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), lines="n_lines", removed="n_removed", **how)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -74,7 +83,8 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_simhash_near_dedup, op4_line_dedup, op5_suffix_dedup, op6_toxicity,
-                                  op7_substring_dedup, op8_best_fit_packing, op9_benchmark_decontamination, op10_url_filter)}
+                                  op7_substring_dedup, op8_best_fit_packing, op9_benchmark_decontamination, op10_url_filter,
+                                  op4_every_line_dedup)}
 
 ORACLE = {
     "op4_line_dedup": """
@@ -84,6 +94,16 @@ f as (select t, strlen(t) as n, min(row(doc_id, i)) as p from l where strlen(t)
 m as (select b.t, min(a.p) as p from f b join (select *, unnest([n-2, n-1, n, n+1, n+2]) as near from f) a
         on b.n = a.near where a.p <= b.p and levenshtein(a.t, b.t) <= 2 group by b.t),
 k as (select doc_id, i, t, coalesce(m.p < row(doc_id, i), false) as gone from l left join m using (t))
+select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_removed,
+  sha256(coalesce(string_agg(t, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from k group by doc_id""",
+    "op4_every_line_dedup": """
+with l as (select doc_id, i, ls[i] as t from (select *, unnest(range(1, len(ls)+1)) as i
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+f as (select t, strlen(t) as n, min(row(doc_id, i)) as p from l where t <> '' group by t),
+m as (select b.t, min(a.p) as p from (select * from f where n >= 30) b join (select *, unnest([n-2, n-1, n, n+1, n+2]) as near from f where n >= 30) a
+        on b.n = a.near where a.p <= b.p and levenshtein(a.t, b.t) <= 2 group by b.t),
+k as (select l.doc_id, l.i, l.t, coalesce(least(f.p, m.p) < row(l.doc_id, l.i), false) as gone from l left join f using (t) left join m using (t))
 select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_removed,
   sha256(coalesce(string_agg(t, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from k group by doc_id""",
