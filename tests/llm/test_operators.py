@@ -259,6 +259,20 @@ def test_decontamination(spark, docs):
     assert decontamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def leaks(spark, items, cases):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = decontamination.contamination(spark.createDataFrame(list(enumerate(t for t, _ in cases)), SCHEMA), bench)
+    got = {r["doc_id"]: sorted({h["item_id"] for h in r["hits"]}) for r in found.collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_names_that_begin_sentences(spark):
+    leaks(spark, ["Tom has 5 apples. Tom eats 2 apples. How many apples are left?", "What is the capital of France?"], [
+        ("Sara has 7 apples. Sara eats 3 apples. How many apples are left?", [0]), ("so Sara has 7 apples. Mike eats 3 apples. how many were left", []),
+        ("Quiz (What is the capital of France?)", [1]), ("Q1) what is the capital of France", [1]), ("WHAT else is a capital of France", []),
+        ("Tom has 5 apples. Tom eats 2 apples. And how many apples", []), ("Tom\n" * 3000 + "Sara\nTom\n" * 2000, [])])
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/1?x=1", "http://www.example.com/en/a", "http://com/en/", "http://x.com", "http://xcom/en/",
             "https://a.net/es/1#f", "https://a.net/fr/", "http://NET/es/", "http://h.org/en/?q", "http://u?://v.com/", "http://h/a#b?c"]

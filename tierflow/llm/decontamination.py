@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders. Windows of canonical tokens of the benchmark are looked up by
-hash, their tokens compared, and the values in the slots must map one to one, so that a question with other numbers
-or names in it is found and a chance likeness is not.
+Numbers, names and units become typed placeholders. Windows of canonical tokens of the benchmark are looked up by the
+hashes of their beginnings, one token more at a time, their tokens compared, and the values in the slots must map one to
+one, so that a question with other numbers or names in it is found and a chance likeness is not. A capitalised word is
+looked up both as a name and as the word that it is.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tierflow.llm.common import held
 from tierflow.llm.tokens import _Numbers, balanced, _room
-from tierflow.llm.windows import grams
 
 WINDOW = 10
 PLAIN = 5  # a window has at least so many tokens that are no slots
@@ -37,8 +37,8 @@ w kw v kv a n j kj cal kcal % $ € £ °""".split()
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:;\n]|[%$€£°]")
 OTHER, STOP, NUMBER, TITLE, UNIT = range(5)
-_SLOT = {NUMBER: "<number>", TITLE: "<name>", UNIT: "<unit>"}
 _SLOT_HASH = np.array([0, 0, *(0x9E3779B97F4A7C15 * k % 2**64 for k in (3, 5, 7))], np.uint64)
+_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _number_words, _units = frozenset(NUMBER_WORDS), frozenset(UNITS)
 
 
@@ -54,7 +54,7 @@ def _kind(token: str) -> int:
 
 
 class _Canon:
-    """Canonical tokens of texts in a row; kinds and hashes of words are looked up."""
+    """Tokens of texts in a row; kinds and hashes of words are looked up."""
 
     def __init__(self):
         self._forget()
@@ -63,7 +63,10 @@ class _Canon:
         self.at, self.kind, self.hash = _Numbers(), np.zeros(1024, np.int8), np.zeros(1024, np.uint64)
 
     def read(self, texts: list[str]):
-        """All tokens; and without sentence ends: kind in context, hash, where each text begins, place among all tokens."""
+        """Without sentence ends: tokens, kind in context, whether a sentence begins, hash as a word or slot, where each text begins.
+
+        A title's hash is that of the word.
+        """
         if len(self.at) > MEMO:
             self._forget()
         cut = [_TOKEN.findall(t) for t in texts]
@@ -82,17 +85,11 @@ class _Canon:
         first[begin[size > 0]] = True
         after = np.concatenate([[STOP], kind[:-1]]) if len(kind) else kind
         after = np.where(first, STOP, after)
-        kind = np.where((kind == TITLE) & (after == STOP) | (kind == UNIT) & (after != NUMBER), OTHER, kind)
+        kind = np.where((kind == UNIT) & (after != NUMBER), OTHER, kind)
         stay = np.flatnonzero(kind != STOP)
-        own = np.where(kind >= NUMBER, _SLOT_HASH[kind], self.hash[at])[stay]
+        own = np.where((kind == NUMBER) | (kind == UNIT), _SLOT_HASH[kind], self.hash[at])[stay]
         ends = np.searchsorted(stay, np.concatenate([begin, [len(kind)]]))
-        return tokens, kind[stay], own, ends, stay
-
-    def window(self, tokens, kind, stay, a: int, n: int):
-        """Canonical tokens and slot values of one window."""
-        part, kinds = [tokens[i].lower() for i in stay[a:a + n]], kind[a:a + n].tolist()
-        return (tuple(_SLOT.get(k, t) for t, k in zip(part, kinds)),
-                tuple(_value(t, k) for t, k in zip(part, kinds) if k >= NUMBER))
+        return [tokens[i] for i in stay.tolist()], kind[stay], (after == STOP)[stay], own, ends
 
 
 def _value(token: str, kind: int) -> str:
@@ -104,52 +101,118 @@ def consistent(pairs: set[tuple[str, str]]) -> bool:
     return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def _longer(h: np.ndarray, at: np.ndarray, own: np.ndarray, kind: np.ndarray):
+    """Hashes of beginnings that take in the token at ``at``, and which of them they continue: a title as a word and as a name."""
+    h = h * _MIX
+    title = np.flatnonzero(kind[at] == TITLE)
+    return np.concatenate([h ^ own[at], h[title] ^ _SLOT_HASH[TITLE]]), np.concatenate([np.arange(len(h)), title])
+
+
+class _Hashes:
+    """A set of hashes; a table of bits is asked first."""
+
+    def __init__(self, h: np.ndarray):
+        self.sorted = np.unique(h)
+        self.shift = np.uint64(64 - max(18, (8 * len(h)).bit_length()))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[self._at(self.sorted)] = True
+
+    def _at(self, h):
+        return ((h * _MIX) >> self.shift).astype(np.int64)
+
+    def among(self, h: np.ndarray) -> np.ndarray:
+        """Places of ``h`` that are in the set."""
+        at = np.flatnonzero(self.seen[self._at(h)])
+        return at[self.sorted[np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)] == h[at]]
+
+
 class Index:
-    """Windows of some benchmark items."""
+    """Windows of some benchmark items, by the hashes of their beginnings."""
 
     def __init__(self, items: list[tuple[int, str]], window: int):
         self.canon = _Canon()
-        self.windows: dict[int, dict[int, list]] = {}
-        for item, text in items:
-            tokens, kind, own, _, stay = self.canon.read([text])
-            n = min(window, len(own))
-            if n < LEAST:
-                continue
-            for a, h in enumerate(grams(own, n).tolist()):
-                if (kind[a:a + n] < NUMBER).sum() >= min(PLAIN, n - 1):
-                    self.windows.setdefault(n, {}).setdefault(h, []).append((item, a, *self.canon.window(tokens, kind, stay, a, n)))
-        self.sorted = {n: np.sort(np.fromiter(w, np.uint64, len(w))) for n, w in self.windows.items()}
-        self.seen = {}
-        for n, h in self.sorted.items():
-            self.seen[n] = np.zeros(1 << 18, bool)
-            self.seen[n][(h & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+        self.tokens, self.kind, self.opens, own, ends = self.canon.read([t for _, t in items])
+        self.low = [t.lower() for t in self.tokens]
+        size = np.diff(ends)
+        n = np.minimum(window, size)
+        self.count = np.where(size < LEAST, 0, size - n + 1)  # windows of each item
+        of = np.repeat(np.arange(len(items)), self.count)
+        self.of, self.n = of, n[of]
+        self.start = ends[of] + np.arange(len(of)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        self.ends, self.ids = ends, [i for i, _ in items]
+        self.begins: list[_Hashes] = []
+        self.whole: list[tuple[np.ndarray, np.ndarray]] = []  # hashes of windows of this length, and the windows
+        own_window, h = np.arange(len(of)), np.zeros(len(of), np.uint64)
+        while len(own_window):
+            j = len(self.begins)
+            h, go = _longer(h, self.start[own_window] + j, own, self.kind)
+            own_window = own_window[go]
+            self.begins.append(_Hashes(h))
+            full = self.n[own_window] == j + 1
+            order = np.argsort(h[full], kind="stable")
+            self.whole.append((h[full][order], own_window[full][order]))
+            h, own_window = h[~full], own_window[~full]
+
+    def _compare(self, w: int, tokens, kind, opens, i: int):
+        """None, or of a window and the tokens at i: plain tokens, words among them, slot values, and those and whether all else
+        is equal where words that begin a sentence are no names."""
+        plain = words = 0
+        pairs, inner, equal = [], [], True
+        for x in range(int(self.n[w])):
+            a, b = int(self.start[w]) + x, i + x
+            ka, kb, ta, tb = self.kind[a], kind[b], self.low[a], tokens[b].lower()
+            if ka == kb and ka >= NUMBER:
+                pair = (_value(ta, ka), _value(tb, kb))
+                pairs.append(pair)
+                if ka != TITLE:
+                    inner.append(pair)
+                    continue
+                if self.opens[a] or opens[b]:
+                    equal &= ta == tb
+                else:
+                    inner.append(pair)
+                if ta != tb:
+                    continue
+            elif ta != tb or NUMBER in (ka, kb) or UNIT in (ka, kb):
+                return None
+            plain += 1
+            words += ta[0].isalpha()
+        return plain, words, tuple(pairs), tuple(inner) if equal else None
 
     def hits(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """(item, first token, end token) of each text's matching windows.
 
-        Windows on one diagonal must agree on the slots together; a window without slots is plain text and always counts.
+        Windows on one diagonal must agree on the slots together, with words that begin sentences as names or as plain words; a
+        window with equal slots always counts. One with few plain tokens never does.
         """
-        tokens, kind, own, ends, stay = self.canon.read(texts)
-        runs: dict[tuple[int, int, int], list] = {}  # windows of one document and item on one diagonal
-        for n, seen in self.seen.items():
-            if len(own) < n:
-                continue
-            g = grams(own, n)
-            at = np.flatnonzero(seen[(g & np.uint64((1 << 18) - 1)).astype(np.int64)])
-            near = self.sorted[n][np.minimum(np.searchsorted(self.sorted[n], g[at]), len(self.sorted[n]) - 1)]
-            at = at[near == g[at]]
-            doc = np.searchsorted(ends, at, "right") - 1
-            for i, d in zip(at.tolist(), doc.tolist()):
-                if i + n > ends[d + 1]:
-                    continue
-                canon, values = self.canon.window(tokens, kind, stay, i, n)
-                for item, a, c, v in self.windows[n][int(g[i])]:
-                    if c == canon:
-                        runs.setdefault((d, item, i - a), []).append((i - int(ends[d]), n, tuple(zip(v, values))))
+        tokens, kind, opens, own, ends = self.canon.read(texts)
+        runs: dict[tuple[int, int, int], dict] = {}  # windows of one document and item on one diagonal
+        doc = np.repeat(np.arange(len(texts)), np.diff(ends))
+        pos, h = np.arange(len(own)), np.zeros(len(own), np.uint64)
+        for j, (begins, (full, window)) in enumerate(zip(self.begins, self.whole)):
+            inside = np.flatnonzero(pos + j < ends[doc[pos] + 1]) if len(pos) else pos
+            h, go = _longer(h[inside], pos[inside] + j, own, kind)
+            pos = pos[inside][go]
+            near = begins.among(h)
+            pos, h = pos[near], h[near]
+            a, b = np.searchsorted(full, h), np.searchsorted(full, h, "right")
+            for k in np.flatnonzero(b > a).tolist():
+                i = int(pos[k])
+                d = int(doc[i])
+                for w in window[a[k]:b[k]].tolist():
+                    item = int(self.of[w])
+                    run = runs.setdefault((d, item, i - int(self.start[w] - self.ends[item])), {})
+                    if i not in run:
+                        run[i] = (j + 1, self._compare(w, tokens, kind, opens, i))
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for (d, item, _), found in sorted(runs.items()):
-            one_to_one = consistent({p for _, _, pairs in found for p in pairs})
-            out[d] += [(item, a, a + n) for a, n, pairs in sorted(found) if one_to_one or not pairs]
+        for (d, item, _), run in sorted(runs.items()):
+            found = [(i, n, *c) for i, (n, c) in sorted(run.items()) if c]
+            names = consistent({p for *_, pairs, _ in found for p in pairs})
+            inner = consistent({p for *_, x in found for p in x or ()})
+            for i, n, plain, _, pairs, plainly in found:
+                equal = all(x == y for x, y in pairs)
+                if plain >= min(PLAIN, n - 1) and (names or equal or inner and plainly is not None):
+                    out[d].append((self.ids[item], i - int(ends[d]), i - int(ends[d]) + n))
         return out
 
 
@@ -189,7 +252,7 @@ def _found(name, items, window, column: pa.Array):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, contaminated, hits (item_id, first and end token of each window that matches), one row per row of ``docs``.
 
-    Tokens are numbers, words, and unit signs; a capitalised word inside a sentence is a name, a unit follows a
+    Tokens are numbers, words, and unit signs; a capitalised word may be a name, a unit follows a
     number. Windows have ``window`` tokens, or all of a shorter item (items under 4 tokens are never found). The benchmark is held in blocks of bounded size on
     every executor, one pass each, so ``docs`` is not shuffled. A null text is empty and clean; a null doc_id stays null; repeated rows are judged
     each; an empty table gives no rows, an empty benchmark no hits; other columns are ignored.
