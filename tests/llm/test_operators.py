@@ -273,6 +273,14 @@ def test_names_that_begin_sentences(spark):
         ("Tom has 5 apples. Tom eats 2 apples. And how many apples", []), ("Tom\n" * 3000 + "Sara\nTom\n" * 2000, [])])
 
 
+def test_items_with_few_plain_tokens(spark):
+    leaks(spark, ["What comes next: 2, 4, 8, 16, 32, 64, 128?", "Calculate 12 + 35 - 7", "3 + 4 + 5", "\u5c0f\u660e\u6709\u4e94\u4e2a\u82f9\u679c\uff0c\u5403\u4e86\u4e00\u4e2a"], [
+        ("Quiz. What comes next: 2, 4, 8, 16, 32, 64, 128? Think.", [0]), ("What comes next: 3, 6, 12, 24, 48, 96, 192?", [0]),
+        ("What comes next: 3, 6, 12, 24, 12, 96, 192?", []), ("calculate 12 + 35 - 7 now", [1]), ("Calculate 12 + 35 + 7", []), ("Calculate 1 + 2 - 8", [1]),
+        ("it is 3 + 4 + 5 here", [2]), ("it is 3 + 4 + 6 here", []),
+        ("\u9898\u76ee\uff1a\u5c0f\u660e\u6709\u4e94\u4e2a\u82f9\u679c\uff0c\u5403\u4e86\u4e00\u4e2a\u3002", [3]), ("\u5c0f\u660e\u6709\u4e94\u4e2a", [])])
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/1?x=1", "http://www.example.com/en/a", "http://com/en/", "http://x.com", "http://xcom/en/",
             "https://a.net/es/1#f", "https://a.net/fr/", "http://NET/es/", "http://h.org/en/?q", "http://u?://v.com/", "http://h/a#b?c"]

@@ -20,7 +20,7 @@ from tierflow.llm.common import held
 from tierflow.llm.tokens import _Numbers, balanced, _room
 
 WINDOW = 10
-PLAIN = 5  # a window has at least so many tokens that are no slots
+PLAIN = 5  # a window with fewer tokens that are no slots (or all but one of a short item) must be an exact copy or the whole item
 LEAST = 4  # a shorter item can't be told from chance
 BLOCK_BYTES = 8 << 20  # benchmark text looked up in one pass
 BATCH_BYTES = 1 << 20
@@ -35,7 +35,11 @@ hour hours day days week weeks month months year years meter meters metre metres
 kilometres mph kmh percent degree degrees dollar dollars cent cents euro euros usd eur gbp hz khz mhz ghz kb mb gb tb
 w kw v kv a n j kj cal kcal % $ € £ °""".split()
 
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:;\n]|[%$€£°]")
+# Scripts without spaces are cut into characters: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff\\U00020000-\\U0003ffff"
+_LETTER = rf"[^\W\d_{_UNSPACED}]"
+_TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|{_LETTER}+(?:['’]{_LETTER}+)*|(?![\d_])(?=\w)[{_UNSPACED}]|[.!?:;\n]|[%$€£°]"
+                    r"|(?<=[\d)\s])[-+*/=<>^×÷−](?=\s*[\d(])")
 OTHER, STOP, NUMBER, TITLE, UNIT = range(5)
 _SLOT_HASH = np.array([0, 0, *(0x9E3779B97F4A7C15 * k % 2**64 for k in (3, 5, 7))], np.uint64)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -183,7 +187,8 @@ class Index:
         """(item, first token, end token) of each text's matching windows.
 
         Windows on one diagonal must agree on the slots together, with words that begin sentences as names or as plain words; a
-        window with equal slots always counts. One with few plain tokens never does.
+        window with equal slots always counts. One with few plain tokens counts if its slots are equal, or if the whole item
+        is there and has a word.
         """
         tokens, kind, opens, own, ends = self.canon.read(texts)
         runs: dict[tuple[int, int, int], dict] = {}  # windows of one document and item on one diagonal
@@ -209,9 +214,10 @@ class Index:
             found = [(i, n, *c) for i, (n, c) in sorted(run.items()) if c]
             names = consistent({p for *_, pairs, _ in found for p in pairs})
             inner = consistent({p for *_, x in found for p in x or ()})
+            whole = names and len(found) == self.count[item] and any(words for _, _, _, words, *_ in found)
             for i, n, plain, _, pairs, plainly in found:
                 equal = all(x == y for x, y in pairs)
-                if plain >= min(PLAIN, n - 1) and (names or equal or inner and plainly is not None):
+                if equal and (plain or len(found) == self.count[item]) or whole or plain >= min(PLAIN, n - 1) and (names or inner and plainly is not None):
                     out[d].append((self.ids[item], i - int(ends[d]), i - int(ends[d]) + n))
         return out
 
@@ -252,8 +258,9 @@ def _found(name, items, window, column: pa.Array):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, contaminated, hits (item_id, first and end token of each window that matches), one row per row of ``docs``.
 
-    Tokens are numbers, words, and unit signs; a capitalised word may be a name, a unit follows a
-    number. Windows have ``window`` tokens, or all of a shorter item (items under 4 tokens are never found). The benchmark is held in blocks of bounded size on
+    Tokens are numbers, words (characters in scripts without spaces), unit signs, and operators before numbers; a capitalised word may be
+    a name, a unit follows a number. Windows have ``window`` tokens, or all of a shorter item (items under 4 tokens are never found); those
+    with fewer than 5 plain tokens (or n - 1 of n) must be exact copies, or the whole item must be there. The benchmark is held in blocks of bounded size on
     every executor, one pass each, so ``docs`` is not shuffled. A null text is empty and clean; a null doc_id stays null; repeated rows are judged
     each; an empty table gives no rows, an empty benchmark no hits; other columns are ignored.
     """
