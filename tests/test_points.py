@@ -110,6 +110,14 @@ def test_key_decisions_and_summary(spark):
     assert r.k == ["use kafka", "redis is out. password=abc"] and "password=***REDACTED***" in r.s
 
 
+def test_short_chunks_stay(spark):
+    from tierflow.functions import text as T
+    body = "def long(x):\n    return " + "x + " * 30 + "x\n"
+    d = spark.createDataFrame([(body + "def f(): pass\n", ".py")], "text string, suffix string")
+    assert [r.chunk for r in T.chunk_text(d, suffix="suffix").collect()] == [body.strip(), "def f(): pass"]
+    assert [r.chunk for r in T.chunk_text(d, suffix="suffix", minimum=50).collect()] == [body.strip()]
+
+
 def test_chunks(spark):
     code = "import os\n" + "x = 1\n" * 20 + "def f():\n" + "    pass\n" * 20
     md = "# One\n" + "a " * 50 + "\n## Two\n" + "b " * 50

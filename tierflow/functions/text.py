@@ -159,11 +159,11 @@ def context_note(role: Column, summary: Column) -> Column:
 
 
 def chunk_text(df, text: str = "text", suffix: str | None = None, kind: str | None = None,
-               window: int = 4000, overlap: int = 500):
+               window: int = 4000, overlap: int = 500, minimum: int = 0):
     """One row per chunk: code at definitions, markdown at headings, else fixed windows.
 
     ``kind`` fixes the rule for all rows; ``suffix`` names a column with the file suffix.
-    Chunks of 50 characters or fewer go; a text without a longer one keeps all its windows.
+    Chunks of ``minimum`` characters or fewer, and blank ones, go (the reference has 50); a text without another keeps all its windows.
     """
     t = F.col(text)
     code = F.split(t, r"(?=(?:def |async def |function |class |fn |func |"
@@ -179,7 +179,7 @@ def chunk_text(df, text: str = "text", suffix: str | None = None, kind: str | No
         s = F.col(suffix)
         parts = (F.when(s.isin(V.CODE_SUFFIXES), code)
                  .when(s.isin(V.MARKDOWN_SUFFIXES), markdown).otherwise(windows))
-    kept = F.transform(F.filter(parts, lambda p: (F.length(p) > 50) & (strip(p) != "")),
+    kept = F.transform(F.filter(parts, lambda p: (F.length(p) > minimum) & (strip(p) != "")),
                        lambda p: strip(p))
     chunks = df.withColumn("__chunks", kept).withColumn(
         "__chunks", F.when(F.size("__chunks") > 0, F.col("__chunks"))

@@ -199,7 +199,7 @@ def t7(spark, sf):
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start)-1 AS BIGINT) AS chunk_pos, md5(chunk) AS chunk_md5
   FROM (SELECT * FROM k UNION ALL SELECT * FROM f)""")
 def t8(spark, sf):
-    d = T.chunk_text(A.text_table(spark, sf, "documents").select("doc_id", "text"), kind="window")
+    d = T.chunk_text(A.text_table(spark, sf, "documents").select("doc_id", "text"), kind="window", minimum=50)
     return d.select("doc_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), F.md5("chunk").alias("chunk_md5"))
 
 
