@@ -1,6 +1,7 @@
 """Registered queries: entry point, plan shape and agreement with SQL on the small tables."""
 
 import os
+import time
 
 import pytest
 
@@ -15,7 +16,14 @@ FAST = ["f1_prompt_features", "f8_signal_count", "x6_cascade_score", "x12_ensemb
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() > 0
+    start = time.time()
+    rows = entry.entry(spark).collect()
+    assert rows and all(r["prompts"] > 0 and 0 <= r["mean_score"] <= 1 for r in rows) and time.time() - start < 60
+
+
+def test_rounded_scores_do_not_multiply_the_plan(spark):
+    plan = entry.queries()["x10_score_and_route"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000
 
 
 def test_registry():
