@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierflow.llm.decontamination import contamination
 from tierflow.llm.fingerprints import edited, fingerprints, likeness, order_minhash, with_next
+from tierflow.llm.hard_negatives import hard_negatives
 from tierflow.llm.line_dedup import line_dedup
 from tierflow.llm.packing import pack
 from tierflow.llm.simhash import near_duplicates
+from tierflow.llm.spelling import spelling_variants
 from tierflow.llm.substring_dedup import substring_dedup
 from tierflow.llm.suffix_dedup import suffix_dedup
 from tierflow.llm.token_counts import token_counts
@@ -82,8 +84,18 @@ def op10_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    other = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", other), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_simhash_near_dedup, op4_line_dedup, op5_suffix_dedup, op6_toxicity,
-                                  op7_substring_dedup, op8_best_fit_packing, op9_benchmark_decontamination, op10_url_filter,
+                                  op7_substring_dedup, op8_best_fit_packing, op9_benchmark_decontamination, op10_url_filter, op11_spelling_variants, op13_hard_negatives,
                                   op4_every_line_dedup)}
 
 ORACLE = {
@@ -107,6 +119,17 @@ k as (select l.doc_id, l.i, l.t, coalesce(least(f.p, m.p) < row(l.doc_id, l.i),
 select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_removed,
   sha256(coalesce(string_agg(t, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from k group by doc_id""",
+    "op13_hard_negatives": """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as good, cast(list_dot_product(a.v, b.v) as bigint) as score
+        from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select * from s where good qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, p.id as positive_id, cast(row_number() over (partition by anchor_id, p.id order by n.score desc, n.id) as integer) as rank,
+  n.id as negative_id, p.score as positive_score, n.score as negative_score
+from p join s n using (anchor_id) where not n.good and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+qualify row_number() over (partition by anchor_id, p.id order by n.score desc, n.id) <= 3""",
     "op5_suffix_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
 w as (select doc_id, i, substr(h, 2*i+1, 100) as g from (select *, unnest(range(0, n-49)) as i from d)),
