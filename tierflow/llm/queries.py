@@ -11,6 +11,7 @@ from tierflow.llm.fingerprints import edited, fingerprints, likeness, order_minh
 from tierflow.llm.hard_negatives import hard_negatives
 from tierflow.llm.line_dedup import line_dedup
 from tierflow.llm.packing import pack
+from tierflow.llm.quality import score as quality_score
 from tierflow.llm.simhash import near_duplicates
 from tierflow.llm.spelling import spelling_variants
 from tierflow.llm.substring_dedup import substring_dedup
@@ -88,6 +89,10 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_quality(spark, sf_dir):
+    return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rules")
+
+
 def op13_hard_negatives(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     other = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -95,7 +100,7 @@ def op13_hard_negatives(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_token_counts, op3_simhash_near_dedup, op4_line_dedup, op5_suffix_dedup, op6_toxicity,
-                                  op7_substring_dedup, op8_best_fit_packing, op9_benchmark_decontamination, op10_url_filter, op11_spelling_variants, op13_hard_negatives,
+                                  op7_substring_dedup, op8_best_fit_packing, op9_benchmark_decontamination, op10_url_filter, op11_spelling_variants, op12_quality, op13_hard_negatives,
                                   op4_every_line_dedup)}
 
 ORACLE = {
