@@ -150,31 +150,31 @@ def window_heads(rows: DataFrame, anchors: DataFrame, blocks: tuple[int, int], n
     return _grid(rows, anchors, blocks, job, _FOUND)
 
 
-_KEY = struct.Struct(">QQQ")
+_KEY = struct.Struct(">QQ?Q")
 _HALF = 1 << 63
 
 
-def packed(anchor: int, score: int, row: int) -> bytes:
-    """Bytes that sort by anchor, then descending score, then id."""
-    return _KEY.pack(anchor + _HALF, _HALF - 1 - score, row + _HALF)
+def packed(anchor: int, score: int, row: int, negative: bool) -> bytes:
+    """Bytes that sort by anchor, descending score, positives before negatives, then id: a window also holds negatives that score as its positive."""
+    return _KEY.pack(anchor + _HALF, _HALF - 1 - score, negative, row + _HALF)
 
 
-def unpacked(key: bytes) -> tuple[int, int, int]:
-    anchor, score, row = _KEY.unpack(key)
-    return anchor - _HALF, _HALF - 1 - score, row - _HALF
+def unpacked(key: bytes) -> tuple[int, int, int, bool]:
+    anchor, score, negative, row = _KEY.unpack(key)
+    return anchor - _HALF, _HALF - 1 - score, row - _HALF, negative
 
 
 def mined(scored, n: int = NEGATIVES, band: tuple[int, int] = BAND):
-    """Rows (anchor, positive, rank, negative, scores) from a stream of (packed key, is positive) in order.
+    """Rows (anchor, positive, rank, negative, scores) from a stream of packed keys in order.
 
     A positive opens a window; a negative goes to every window that it is in; a window ends with its ``n``-th negative, or with the first
     score below it.
     """
     low, high = band
-    for anchor, stream in groupby(((*unpacked(k), good) for k, good in scored), key=lambda x: x[0]):
+    for anchor, stream in groupby(map(unpacked, scored), key=lambda x: x[0]):
         opened: list[list] = []  # positive, its score, negatives so far
-        for _, score, row, good in stream:
-            if good:
+        for _, score, row, negative in stream:
+            if not negative:
                 opened.append([row, score, 0])
                 continue
             still = []
@@ -208,8 +208,8 @@ def hard_negatives(vectors: DataFrame, anchors, n_positives: int = POSITIVES, n_
     good = staged(positives(rows, chosen, blocks, n_positives))
     windows = good.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_set("score").alias("scores"))  # n_positives at most
     bad = window_heads(rows, chosen.join(windows, "vec_id"), blocks, n_negatives, band)
-    scored = good.withColumn("good", F.lit(True)).unionByName(bad.withColumn("good", F.lit(False)))
-    keyed = scored.select("anchor_id", F.col("score").cast("bigint").alias("score"), "id", "good").rdd.map(lambda r: (packed(r[0], r[1], r[2]), r[3]))
-    ordered = keyed.repartitionAndSortWithinPartitions(parts(spark), lambda key: zlib.crc32(key[:8]))
+    scored = good.withColumn("negative", F.lit(False)).unionByName(bad.withColumn("negative", F.lit(True)))
+    keyed = scored.select("anchor_id", F.col("score").cast("bigint").alias("score"), "id", "negative").rdd.map(lambda r: (packed(*r), None))
+    ordered = keyed.repartitionAndSortWithinPartitions(parts(spark), lambda key: zlib.crc32(key[:8])).keys()
     return spark.createDataFrame(ordered.mapPartitions(lambda it: mined(it, n_negatives, band)),
                                  "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")

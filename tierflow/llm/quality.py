@@ -25,6 +25,7 @@ from tierflow.operators.scale import staged
 SAMPLE = 10_000  # labelled documents that a fit reads, about
 TREES, DEPTH = 30, 3
 PENALTIES = (3e-4, 1e-3, 3e-3)
+STEPS = 60  # of the last fit; half as many for each penalty tried
 FOLD = 4  # one learning row in so many chooses the penalty
 SCORE_AT_LEAST = 0.3
 
@@ -126,8 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int =
     # the ids picked are about ``sample`` in number, whatever the size of the tables
     rows = doc_rows(docs).join(F.broadcast(picked), "doc_id").select("doc_id", F.col("label").cast("double").alias("label"), statistics(F.col("text")).alias("s"))
     names = list(STATISTICS)
-    # the same order whatever files the rows came from, so that a fit can be repeated
-    learnt = staged(rows.select("doc_id", "label", "s.*").repartition(4, "doc_id").sortWithinPartitions("doc_id", *names))
+    # the same partitions in the same order whatever files the rows came from, so that a fit can be repeated
+    learnt = staged(rows.select("doc_id", "label", "s.*")).repartition(4, "doc_id").sortWithinPartitions("doc_id", *names)
     shares = learnt.agg(F.count(F.lit(1)), F.sum("label")).first()
     n, ones = shares[0], shares[1] or 0.0
     if not 0 < ones < n:
@@ -138,14 +139,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int =
     if not rules:
         return Ensemble(math.log(ones / (n - ones)), ())
     own = F.struct(*names)
-    held = staged(learnt.select("label", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLD)) == 0).alias("chooses"),
-                                array_to_vector(F.array(*[r.column(own).cast("double") for r in rules])).alias("features"))).cache()
+    held = learnt.select("label", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLD)) == 0).alias("chooses"),
+                         array_to_vector(F.array(*[r.column(own).cast("double") for r in rules])).alias("features")).cache()
 
-    def fit(rows: DataFrame, penalty: float):
-        return LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60).fit(rows)
+    def fit(rows: DataFrame, penalty: float, steps: int):
+        return LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=steps).fit(rows)
 
-    loss = {p: _log_loss(fit(held.where("not chooses"), p).transform(held.where("chooses"))) for p in penalties}
-    model = fit(held, min(penalties, key=lambda p: (loss[p], -p)))
+    loss = {p: _log_loss(fit(held.where("not chooses"), p, STEPS // 2).transform(held.where("chooses"))) for p in penalties}
+    model = fit(held, min(penalties, key=lambda p: (loss[p], -p)), STEPS)
     held.unpersist()
     weights = model.coefficients.toArray()
     return Ensemble(float(model.intercept), tuple(Rule(r.bounds, float(w)) for r, w in zip(rules, weights) if w))
