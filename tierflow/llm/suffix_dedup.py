@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tierflow.llm.common import doc_rows, two_rounds
-from tierflow.llm.windows import SharedWindows, kept
+from tierflow.llm.windows import PIECE, SharedWindows, grams, kept
 
 WINDOW = 50
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -109,6 +109,22 @@ def neighbours(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate([[False], same]) if len(order) else same
 
 
+def maybe_again(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """Those of the windows at ``starts`` that may occur again, by a table of hashes; one that does is never missed."""
+    n, bits = len(text) - window + 1, min(32, max(10, len(starts).bit_length() + 1))
+    slot = np.empty(n, np.uint32)
+    for a in range(0, n, PIECE):
+        part = text[a:a + PIECE + window - 1]
+        slot[a:a + len(part) - window + 1] = grams(_TABLE[part], window) >> np.uint64(64 - bits)
+    slot = slot[starts]
+    number = np.arange(len(starts), dtype=np.uint32)
+    last = np.zeros(1 << bits, np.uint32)
+    last[slot] = number
+    again = np.zeros(1 << bits, bool)
+    again[slot[last[slot] != number]] = True
+    return starts[again[slot]]
+
+
 class _Bytes(SharedWindows):
     def load(self, text):
         return text
@@ -132,7 +148,7 @@ class _Bytes(SharedWindows):
         owner = np.repeat(np.arange(len(segments)), count)
         starts = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + at[owner]
         wanted = np.zeros(len(text), bool)
-        wanted[starts] = True
+        wanted[maybe_again(text, starts, self.window)] = True
         of = np.zeros(len(text), np.int64)
         of[starts] = owner
         order = two_stage(text, wanted, self.window)

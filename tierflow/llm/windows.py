@@ -4,7 +4,7 @@ Every window holds one anchor: its smallest k-gram by hash, the leftmost on ties
 content alone. First round: buckets send the hashes of their anchors, and learn which ones occur again. Second round:
 runs of windows around such an anchor ("segments": consecutive windows with one anchor) go to the anchor's shard as
 text, each distinct segment once per bucket with its first place. Equal windows have equal anchors, so they meet in
-one shard, where the subclass compares the text itself. Hashes only choose candidates; they decide nothing.
+one shard, where the subclass compares the text itself. Hashes of anchors only choose candidates; a whole text that was there before is told by its sha256.
 """
 
 from __future__ import annotations
@@ -18,30 +18,34 @@ from tierflow.llm.common import encode, ids, split_by
 
 PIECE = 1 << 20
 _POS = np.uint64((1 << 31) - 1)
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+_STEP = 0x9E3779B97F4A7C15
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_powers: list[np.ndarray] = []
 
 
-def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = (a * _A) ^ (b + _B)
-    h ^= h >> np.uint64(32)
-    h *= _C
-    h ^= h >> np.uint64(29)
-    return h
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2^64; a worker keeps those of PIECE units."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 2 * PIECE)
+        steps = np.full((2, size), _STEP, np.uint64)
+        steps[1] = pow(_STEP, -1, 1 << 64)
+        steps[:, 0] = 1
+        _powers[:] = np.multiply.accumulate(steps, 1)
+    return _powers[0][:n], _powers[1][:n]
 
 
 def grams(units: np.ndarray, k: int) -> np.ndarray:
-    """A hash of units[i:i+k] for every i, from hashes of runs of 1, 2, 4, ... units."""
+    """A hash of units[i:i+k] for every i, from running sums of units times powers."""
     n = len(units) - k + 1
-    out, done, size, run = None, 0, 1, units
-    while size <= k:
-        if k & size:
-            part = run[done:done + n]
-            out = part if out is None else _join(out, part)
-            done += size
-        size *= 2
-        if size <= k:
-            run = _join(run[:-(size // 2)], run[size // 2:])
-    return out if k & (k - 1) else out.copy()
+    up, down = powers(len(units))
+    total = np.cumsum(units * up)
+    out = total[k - 1:].copy()
+    out[1:] -= total[:n - 1]
+    out *= down[:n]
+    out ^= out >> np.uint64(32)
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def least(v: np.ndarray, w: int) -> np.ndarray:
@@ -133,7 +137,7 @@ class SharedWindows:
         out: dict[bytes, int] = {}
         for name, t in zip(names.tolist(), texts):
             if len(t) >= self.window:
-                d = hashlib.md5(t).digest()
+                d = hashlib.sha256(t).digest()
                 out[d] = min(name, out.get(d, name))
         return out
 
@@ -163,24 +167,27 @@ class SharedWindows:
         for (b, m), own in zip(asked, each):
             yield b, (own[np.isin(own, again)], [(d, least_of[d]) for d, _ in m[2] if seen[d] > 1])
 
-    def segments(self, names, texts, answers):
-        """Documents, which of them are later copies, and (doc, start, windows, shard, text) of candidate segments."""
+    def copies(self, names, texts, answers) -> list[bool]:
+        """Which documents are later copies of a whole text (by sha256)."""
         own = self.digests(names, texts)
         for _, (_, same) in answers:
             own.update(same)
+        return [len(t) >= self.window and own[hashlib.sha256(t).digest()] < n for n, t in zip(names.tolist(), texts)]
+
+    def segments(self, names, texts, answers):
+        """(doc, start, windows, shard, text) of candidate segments."""
         hits = np.sort(np.concatenate([(np.uint64(s) << np.uint64(32)) | a[0].astype(np.uint64) for s, a in answers]
                                       or [np.zeros(0, np.uint64)]))
-        copy = [len(t) >= self.window and own[hashlib.md5(t).digest()] < n for n, t in zip(names.tolist(), texts)]
-        docs = [self.load(t) for t in texts]
+        docs = [self.load(b"" if c else t) for t, c in zip(texts, self.copies(names, texts, answers))]
         found = []
-        for doc, start, count, anchor in self.runs([d if not c else self.load(b"") for d, c in zip(docs, copy)]):
+        for doc, start, count, anchor in self.runs(docs):
             shard, low = self.keyed(anchor)
             key = (shard.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
             at = np.searchsorted(hits, key)
             hit = np.flatnonzero(hits[np.minimum(at, len(hits) - 1)] == key) if len(hits) else []
             for i, a, c, s in zip(doc[hit].tolist(), start[hit].tolist(), count[hit].tolist(), shard[hit].tolist()) if len(hit) else ():
                 found.append((i, a, c, s, self.piece(docs[i], a, a + c - 1 + self.window)))
-        return docs, copy, found
+        return found
 
     def distinct(self, names, found):
         """Per shard: its distinct segments, sorted, with their first place."""
@@ -192,45 +199,46 @@ class SharedWindows:
         return {s: sorted(x.items()) for s, x in sorted(out.items())}
 
     def second(self, table, answers):
+        """Each shard's segments, and where they stand here, which comes back with the answer."""
         names, texts = self.read(table)
-        _, _, found = self.segments(names, texts, answers)
+        found = self.segments(names, texts, answers)
+        stand: dict[int, list[tuple[int, int, int, bytes]]] = {}
+        for i, a, c, s, text in found:
+            stand.setdefault(s, []).append((i, a, c, text))
         for s, segments in self.distinct(names, found).items():
+            number = {t: j for j, (t, _) in enumerate(segments)}
             yield s, (np.array([len(t) for t, _ in segments], np.uint32), np.array([p for _, p in segments], np.int64),
-                      b"".join(t for t, _ in segments))
+                      b"".join(t for t, _ in segments), np.array([(i, a, c, number[t]) for i, a, c, t in stand[s]], np.uint32))
 
     def answer_second(self, asked):
         merged: dict[bytes, tuple[int, int]] = {}
         sent = []
-        for b, (sizes, places, blob) in asked:
+        for b, (sizes, places, blob, stand) in asked:
             ends, own = np.cumsum(sizes).tolist(), []
             for size, end, p in zip(sizes.tolist(), ends, places.tolist()):
                 t, p = blob[end - size:end], (p[0], p[1])
                 if t not in merged or p < merged[t]:
                     merged[t] = p
                 own.append(t)
-            sent.append((b, own))
+            sent.append((b, own, stand))
         order = sorted(merged, key=merged.__getitem__)
         runs = dict(zip(order, self.repeated(order, np.array([merged[t] for t in order], np.int64))))
-        for b, own in sent:
+        for b, own, stand in sent:
             yield b, (np.array([merged[t] for t in own], np.int64),
-                      np.array([(j, *r) for j, t in enumerate(own) for r in runs[t]], np.int32).reshape(-1, 3))
+                      np.array([(j, *r) for j, t in enumerate(own) for r in runs[t]], np.int32).reshape(-1, 3), stand)
 
     def finish(self, table, answers, answers2):
         names, texts = self.read(table)
-        docs, copy, found = self.segments(names, texts, answers)
-        index = {s: {t: j for j, (t, _) in enumerate(x)} for s, x in self.distinct(names, found).items()}
-        told = {}
-        for s, (places, runs) in answers2:
-            cut = np.searchsorted(runs[:, 0], np.arange(len(places) + 1))
-            told[s] = (places.tolist(), runs[:, 1:].tolist(), cut.tolist())
+        copy, docs = self.copies(names, texts, answers), [self.load(t) for t in texts]
         removed: list[list[tuple[int, int]]] = [[(0, len(d))] if c and len(d) >= self.window else [] for d, c in zip(docs, copy)]
-        for i, a, c, s, text in found:
-            places, runs, cut = told[s]
-            j = index[s][text]
-            if self.place(int(names[i]), a) > tuple(places[j]):
-                removed[i].append((a, a + c - 1 + self.window))
-            else:
-                removed[i] += [(a + x, a + y - 1 + self.window) for x, y in runs[cut[j]:cut[j + 1]]]
+        for _, (places, runs, stand) in answers2:
+            cut = np.searchsorted(runs[:, 0], np.arange(len(places) + 1)).tolist()
+            places, runs = places.tolist(), runs[:, 1:].tolist()
+            for i, a, c, j in stand.tolist():
+                if self.place(int(names[i]), a) > tuple(places[j]):
+                    removed[i].append((a, a + c - 1 + self.window))
+                elif cut[j] < cut[j + 1]:
+                    removed[i] += [(a + x, a + y - 1 + self.window) for x, y in runs[cut[j]:cut[j + 1]]]
         return self.result([None if n == (1 << 63) - 1 else n for n in names.tolist()], texts, docs, [merge(r) for r in removed])
 
 
