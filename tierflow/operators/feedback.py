@@ -396,28 +396,6 @@ def optimiser_gate(df: DataFrame, min_per_tier: int = 50, every: int = 500) -> D
         ((F.col("interactions") > 0) & (F.col("interactions") % every == 0)).alias("interval_due"))
 
 
-def ask_rate(asked: Column, tier: Column, base: float = 0.10, weak=("moderate", "heavy", "intensive"),
-             weak_factor: float = 2.0) -> Column:
-    """Vote rate after ``asked`` earlier asks."""
-    rate = F.greatest(F.lit(0.02), F.exp(-asked / 50.0) * base)
-    return F.least(F.lit(0.5), F.when(tier.isin(list(weak)), rate * weak_factor).otherwise(rate))
-
-
-def with_prior_asks(df: DataFrame, ts: str = "ts", tie: str = "interaction_id") -> DataFrame:
-    """How many asks the agent had before this one."""
-    d = running(df, ["agent_id"], [ts, tie], time_bucket(F.col(ts)), sums={"__n": F.lit(1).cast("long")})
-    return d.withColumn("prior_asks", F.col("__n") - 1).drop("__n")
-
-
-def sample_for_votes(df: DataFrame, seed: int = 42, always_below: float = 0.5,
-                     never=("trivial", "extreme"), key: str = "interaction_id") -> DataFrame:
-    """Rows whose user is asked: never on excluded tiers, always when very unsure, else by rate."""
-    rate = ask_rate(F.col("prior_asks"), F.col("predicted_tier"))
-    pick = unit_hash(F.col(key), seed) < rate
-    return df.where(~F.col("predicted_tier").isin(list(never))
-                    & ((F.col("confidence") < always_below) | pick))
-
-
 def sample_unjudged(df: DataFrame, rate: float = 0.10, seed: int = 42, key: str = "interaction_id") -> DataFrame:
     return df.where(F.col("adequacy").isNull() & (unit_hash(F.col(key), seed) < rate))
 

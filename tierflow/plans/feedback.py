@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tierflow import vocab as V
 from tierflow.functions import scoring as S, text as T
 from tierflow.functions.num import rnd
-from tierflow.operators import feedback as B, retrieval as I, routing as R
+from tierflow.operators import asks as K, feedback as B, retrieval as I, routing as R
 from tierflow.operators.scale import unit_hash
 from tierflow.plans import prompts as P, sql as Q
 from tierflow.sources import adapters as A
@@ -514,21 +514,30 @@ def _rate_sql(n):
     return f"least(0.5::DOUBLE, greatest(0.02::DOUBLE, exp(-({n})/50.0::DOUBLE)*0.1)*CASE WHEN predicted_tier IN ('moderate','heavy','intensive') THEN 2 ELSE 1 END)"
 
 
-PRIOR = "pa AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts, interaction_id)-1 AS prior_asks FROM interactions)"
+# one step per row of an agent: the count of asks so far decides the next
+ASKS = f"""c0 AS MATERIALIZED (SELECT *, predicted_tier IN ('trivial','extreme') AS never, (interaction_id%10)/10.0 < 0.5 AS unsure,
+    {Q.uhash('interaction_id', 42)}/4294967296.0::DOUBLE AS u, row_number() OVER (PARTITION BY agent_id ORDER BY ts, interaction_id) AS rn FROM interactions),
+walk AS (SELECT DISTINCT agent_id, 1::BIGINT AS rn, 0::BIGINT AS prior_asks FROM c0
+  UNION ALL SELECT w.agent_id, w.rn+1, w.prior_asks + (NOT never AND (unsure OR u < {_rate_sql('w.prior_asks')}))::BIGINT
+  FROM walk w JOIN c0 c ON c.agent_id=w.agent_id AND c.rn=w.rn),
+pa AS (SELECT c.*, prior_asks, NOT never AND (unsure OR u < {_rate_sql('prior_asks')}) AS asked FROM c0 c JOIN walk w ON c.agent_id=w.agent_id AND c.rn=w.rn)"""
+WR = f"WITH RECURSIVE {Q.INTERACTIONS}"
 
 
-@query("w7_ask_rate", f"{W}, {PRIOR} SELECT interaction_id, prior_asks, round({_rate_sql('prior_asks')},9) AS rate FROM pa")
+def ask_log(spark, sf):
+    return A.interactions(spark, sf).select("interaction_id", "agent_id", "ts", "predicted_tier", (F.col("interaction_id") % 10 / 10.0).alias("confidence"))
+
+
+@query("w7_ask_rate", f"{WR}, {ASKS} SELECT interaction_id, prior_asks, asked, round({_rate_sql('prior_asks')},9) AS rate FROM pa")
 def w7(spark, sf):
-    d = B.with_prior_asks(A.interactions(spark, sf))
-    return d.select("interaction_id", "prior_asks", rnd(B.ask_rate(F.col("prior_asks"), F.col("predicted_tier")), 9).alias("rate"))
+    d = K.with_asks(ask_log(spark, sf))
+    return d.select("interaction_id", "prior_asks", "asked", rnd(K.ask_rate(F.col("prior_asks"), F.col("predicted_tier")), 9).alias("rate"))
 
 
 # --- sampling ----------------------------------------------------------------------------
-@query("p4_sample_for_votes", f"""{W}, {PRIOR} SELECT interaction_id FROM pa WHERE predicted_tier NOT IN ('trivial','extreme')
-  AND ((interaction_id%10)/10.0 < 0.5 OR {Q.uhash('interaction_id', 42)}/4294967296.0::DOUBLE < {_rate_sql('prior_asks')})""")
+@query("p4_sample_for_votes", f"{WR}, {ASKS} SELECT interaction_id FROM pa WHERE asked")
 def p4(spark, sf):
-    d = B.with_prior_asks(A.interactions(spark, sf)).withColumn("confidence", F.col("interaction_id") % 10 / 10.0)
-    return B.sample_for_votes(d).select("interaction_id")
+    return K.sample_for_votes(ask_log(spark, sf)).select("interaction_id")
 
 
 @query("p4_sample_unjudged", f"{W} SELECT interaction_id FROM interactions WHERE adequacy IS NULL AND {Q.uhash('interaction_id', 42)}/4294967296.0::DOUBLE < 0.1")
