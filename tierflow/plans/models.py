@@ -221,13 +221,21 @@ def z3_decisions(spark, sf):
                                                       F.array_join("decisions", ",").alias("decisions"))
 
 
-@query("z4_match_votes_stream", f"""WITH {Q.VOTES} SELECT r.reply_id, q.request_id, q.predicted_tier FROM replies r JOIN requests q ON q.agent_id=r.agent_id AND r.replied_at>=q.asked_at AND r.replied_at<q.asked_at + INTERVAL 5 MINUTE""")
+@query("z4_match_votes_stream", PF.ORACLE["j4_match_votes"])
 def z4(spark, sf):
-    log = _log_stream(spark, sf)
-    q = log.select(F.col("interaction_id").alias("request_id"), "agent_id", F.col("ts").alias("asked_at"), "predicted_tier")
-    delay = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("interaction_id") % 600 + 1).cast("decimal(18,6)"))
-    r = _log_stream(spark, sf).select(F.col("interaction_id").alias("reply_id"), "agent_id", (F.col("ts") + delay).alias("replied_at"))
-    return Z.run_to_table(Z.match_votes_stream(r, q).select("reply_id", "request_id", "predicted_tier"))
+    """Votes arrive in five parts, up to nine minutes out of order; the stream goes on from its checkpoint for each."""
+    base = scratch_dir(spark)
+    events = staged(Z.vote_events(A.vote_replies(spark, sf), A.vote_requests(spark, sf)).withColumn(
+        "arrived", F.unix_timestamp(F.col("t").cast("timestamp")) + F.col("id") % 540))
+    first, last = events.agg(F.min("arrived"), F.max("arrived")).first()
+    votes = Z.VoteMatcher(f"{base}/state", f"{base}/out")
+    part = F.least(F.lit(4), F.floor((F.col("arrived") - (first or 0)) * 5 / max(1, (last or 0) - (first or 0))))
+    for i in range(5):
+        events.where(part == i).drop("arrived").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(Z.VOTE_EVENT).parquet(f"{base}/in")
+        votes.sink(stream).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    votes.finish(spark)
+    return votes.matched(spark)
 
 
 @query("z5_index_stream", f"WITH {PF.retrieve_sql(3)} SELECT * FROM got")

@@ -4,13 +4,18 @@ or by a fixed number of rows per key."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tierflow.operators import routing as R
-from tierflow.operators.scale import scratch_dir
+from tierflow.operators.feedback import match_votes
+from tierflow.operators.scale import scratch_dir, staged
+
+MATCHED = "reply_id bigint, agent_id string, request_id bigint, predicted_tier string, agreed boolean, correct_tier string"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,19 +59,85 @@ def sessions(turns: DataFrame, idle: str = "1 hour", late: str = "10 minutes", t
                 F.col("l.predicted_tier").alias("last_tier"), F.col("l.routed_model").alias("last_model")))
 
 
-def match_votes_stream(replies: DataFrame, requests: DataFrame, within: str = "5 minutes",
-                       late: str = "10 minutes") -> DataFrame:
-    """Requests of the agent that a reply may answer, by interval join; ``newest_request``
-    keeps one per reply."""
-    a = requests.withWatermark("asked_at", late).select(
-        F.col("agent_id").alias("__agent"), "request_id", "asked_at", "predicted_tier")
-    r = replies.withWatermark("replied_at", late)
-    return r.join(a, F.expr(f"agent_id = __agent AND replied_at >= asked_at AND replied_at < asked_at + INTERVAL {within}")) \
-        .drop("__agent")
-
-
-def newest_request(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("reply_id").agg(F.max_by("request_id", F.struct("asked_at", "request_id")).alias("request_id"))
+VOTE_EVENT = "agent_id string, t timestamp_ntz, kind int, id bigint, predicted_tier string, reply_text string"
+_CLOCK = "batch bigint, requests timestamp_ntz, replies timestamp_ntz"
+
+
+def vote_events(replies: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (kind 0) and replies (kind 1) as one stream or table."""
+    none, at = F.lit(None).cast("string"), lambda c: F.col(c).cast("timestamp_ntz").alias("t")
+    asked = requests.select("agent_id", at("asked_at"), F.lit(0).alias("kind"), F.col("request_id").cast("long").alias("id"), "predicted_tier", none.alias("reply_text"))
+    said = replies.select("agent_id", at("replied_at"), F.lit(1).alias("kind"), F.col("reply_id").cast("long").alias("id"), none.alias("predicted_tier"), "reply_text")
+    return asked.unionByName(said)
+
+
+class VoteMatcher:
+    """Pairs every reply of a stream with the newest request of its agent that is still unanswered and young enough; an answered request is gone.
+
+    The state between micro-batches is a table: the events at or after the watermark, and the requests before it that are open and may still be
+    answered. A micro-batch decides, by the brackets of ``feedback.match_votes``, what lies before the new watermark, so rows may
+    come in any order up to ``late_seconds``. The watermark is the earlier of the newest request and the newest reply, less ``late_seconds``; later
+    rows are dropped, as are rows without a time. ``finish`` decides the rest once no more rows come. State and output of a micro-batch
+    are written over when it is repeated; two state folders take turns, so the state holds no more than ``within_seconds + late_seconds`` of
+    events. Ids are unique among requests and among replies.
+    """
+
+    def __init__(self, state: str, out: str, within_seconds: int = 300, late_seconds: int = 600):
+        self.state, self.out, self.within, self.late = state, out, within_seconds, late_seconds
+
+    def sink(self, events: DataFrame):
+        return events.writeStream.foreachBatch(self.step)
+
+    def matched(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(f"{MATCHED}, batch bigint").parquet(self.out).drop("batch")
+
+    def finish(self, spark: SparkSession) -> None:
+        clocks = [c for c in (self._clock(spark, n) for n in (0, 1)) if c]
+        if clocks:
+            self.step(spark.createDataFrame([], VOTE_EVENT), max(c.batch for c in clocks) + 1, last=True)
+
+    def _clock(self, spark: SparkSession, batch: int):
+        try:
+            return spark.read.schema(_CLOCK).parquet(f"{self.state}/clock{batch % 2}").first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def _watermark(self, clock):
+        if clock is None or clock.requests is None or clock.replies is None:
+            return None
+        return min(clock.requests, clock.replies) - timedelta(seconds=self.late)
+
+    def step(self, batch: DataFrame, number: int, last: bool = False) -> None:
+        spark = batch.sparkSession
+        before = self._clock(spark, number - 1) if number else None
+        old = self._watermark(before)
+        events = batch.where("t is not null" if old is None else F.col("t") >= F.lit(old).cast("timestamp_ntz"))
+        if before is not None:
+            events = events.unionByName(spark.read.schema(VOTE_EVENT).parquet(f"{self.state}/events{(number - 1) % 2}"))
+        events = staged(events)
+        newest = events.agg(*[F.max(F.when(F.col("kind") == k, F.col("t"))) for k in (0, 1)]).first()
+        known = [max((x for x in pair if x is not None), default=None)
+                 for pair in zip(newest, (before.requests, before.replies) if before else (None, None))]
+        clock = Row(batch=number, requests=known[0], replies=known[1])
+        mark = self._watermark(clock)
+        due = F.lit(True) if last else F.lit(False) if mark is None else F.col("t") < F.lit(mark).cast("timestamp_ntz")
+        ready, asked = events.where(due), F.col("kind") == 0
+        requests = ready.where(asked).select("agent_id", F.col("t").alias("asked_at"), F.col("id").alias("request_id"), "predicted_tier")
+        replies = ready.where(~asked).select("agent_id", F.col("t").alias("replied_at"), F.col("id").alias("reply_id"), "reply_text")
+        out = f"{self.out}/batch={number}"
+        if last or mark is not None:
+            match_votes(replies, requests, self.within).write.mode("overwrite").parquet(out)
+        else:
+            spark.createDataFrame([], MATCHED).write.mode("overwrite").parquet(out)
+        rest = events.where(~due)
+        if mark is not None and not last:
+            answered = spark.read.schema(MATCHED).parquet(out).select(F.col("request_id").alias("id"))
+            young = F.col("t") > F.lit(mark - timedelta(seconds=self.within)).cast("timestamp_ntz")
+            rest = rest.unionByName(ready.where(asked & young).join(answered, "id", "left_anti").select(*events.columns))
+        rest.write.mode("overwrite").parquet(f"{self.state}/events{number % 2}")
+        spark.createDataFrame([clock], _CLOCK).coalesce(1).write.mode("overwrite").parquet(f"{self.state}/clock{number % 2}")
 
 
 def drop_replays(stream: DataFrame, key: str = "interaction_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
