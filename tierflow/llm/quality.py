@@ -12,9 +12,10 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tierflow.functions.num import let
@@ -25,7 +26,7 @@ from tierflow.operators.scale import staged
 SAMPLE = 10_000  # labelled documents that a fit reads, about
 TREES, DEPTH = 30, 3
 PENALTIES = (3e-4, 1e-3, 3e-3)
-STEPS = 60  # of the last fit; half as many for each penalty tried
+STEPS, SWEEPS = 40, 200  # of a fit, and of one of its steps, at most
 FOLD = 4  # one learning row in so many chooses the penalty
 SCORE_AT_LEAST = 0.3
 
@@ -113,9 +114,62 @@ class Ensemble:
         return F.struct((1.0 / (1.0 + F.exp(-total))).alias("score"), fired.alias("rules"))
 
 
-def _log_loss(rows: DataFrame) -> float:
-    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), vector_to_array("probability")[1]))
-    return rows.agg(F.avg(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0] or 0.0
+def _objective(z, y, w, b, penalty) -> float:
+    m = b + z @ w
+    return float(np.mean(np.logaddexp(0.0, m) - y * m) + penalty * np.abs(w).sum())
+
+
+def lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = STEPS) -> tuple[float, np.ndarray]:
+    """Intercept and weights of the logistic regression with the least mean log loss plus ``penalty`` times the sum of the weights' sizes, each
+    times its column's deviation. Newton steps; each one's quadratic form is solved by coordinate descent, and halved until the objective falls."""
+    spread = x.std(0)
+    varies = spread > 0
+    z, n = x[:, varies] / spread[varies], len(y)
+    w, b = np.zeros(z.shape[1]), math.log((y.sum() + .5) / (n - y.sum() + .5))
+    now = _objective(z, y, w, b, penalty)
+    for _ in range(steps):
+        p = 1.0 / (1.0 + np.exp(-np.clip(b + z @ w, -30, 30)))
+        v = np.maximum(p * (1 - p), 1e-5)
+        slope, slope0 = z.T @ (p - y) / n, float((p - y).mean())
+        curve, curve0, cross = z.T @ (z * v[:, None]) / n, float(v.mean()), z.T @ v / n
+        after, after0 = w.copy(), b
+        for _ in range(SWEEPS):
+            moved = 0.0
+            for j in range(len(after)):
+                a = curve[j, j]
+                t = after[j] - slope[j] / a
+                t = math.copysign(max(abs(t) - penalty / a, 0.0), t)
+                d = t - after[j]
+                if d:
+                    after[j] = t
+                    slope += curve[j] * d
+                    slope0 += cross[j] * d
+                    moved = max(moved, abs(d))
+            d = -slope0 / curve0
+            after0 += d
+            slope, slope0 = slope + cross * d, 0.0
+            if max(moved, abs(d)) < 1e-6:
+                break
+        share = 1.0
+        while share > 1e-3 and (found := _objective(z, y, w + share * (after - w), b + share * (after0 - b), penalty)) > now:
+            share /= 2
+        if share <= 1e-3 or now - found < 1e-9:
+            break
+        w, b, now = w + share * (after - w), b + share * (after0 - b), found
+    out = np.zeros(x.shape[1])
+    out[varies] = w / spread[varies]
+    return b, out
+
+
+def best_lasso(x: np.ndarray, y: np.ndarray, chooses: np.ndarray, penalties) -> tuple[float, np.ndarray]:
+    """The fit to all rows with the penalty whose fit to the others loses least on the rows that choose; of equal ones the largest."""
+    def loss(penalty):
+        b, w = lasso(x[~chooses], y[~chooses], penalty)
+        return _objective(x[chooses], y[chooses], w, b, 0.0)
+
+    own = y[~chooses]
+    tried = {p: loss(p) for p in penalties} if chooses.any() and 0 < own.sum() < len(own) else dict.fromkeys(penalties, 0.0)
+    return lasso(x, y, min(penalties, key=lambda p: (tried[p], -p)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, penalties=PENALTIES) -> Ensemble:
@@ -139,17 +193,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int =
     if not rules:
         return Ensemble(math.log(ones / (n - ones)), ())
     own = F.struct(*names)
-    held = learnt.select("label", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLD)) == 0).alias("chooses"),
-                         array_to_vector(F.array(*[r.column(own).cast("double") for r in rules])).alias("features")).cache()
-
-    def fit(rows: DataFrame, penalty: float, steps: int):
-        return LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=steps).fit(rows)
-
-    loss = {p: _log_loss(fit(held.where("not chooses"), p, STEPS // 2).transform(held.where("chooses"))) for p in penalties}
-    model = fit(held, min(penalties, key=lambda p: (loss[p], -p)), STEPS)
-    held.unpersist()
-    weights = model.coefficients.toArray()
-    return Ensemble(float(model.intercept), tuple(Rule(r.bounds, float(w)) for r, w in zip(rules, weights) if w))
+    held = learnt.select("doc_id", "label", (F.col("doc_id") * 0).alias("all"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLD)) == 0).alias("chooses"),
+                         F.array(*[r.column(own).cast("tinyint") for r in rules]).alias("holds"))
+
+    def fit(rows):
+        x = rows["holds"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        order = np.lexsort((*np.packbits(x, axis=1).T, rows["doc_id"].to_numpy()))  # the same sums whatever order the rows come in
+        bias, weights = best_lasso(x[order].astype(float), rows["label"].to_numpy()[order], rows["chooses"].to_numpy()[order], penalties)
+        return pa.table({"bias": [bias], "weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
+
+    # ``sample`` rows, so one task
+    model = held.groupBy("all").applyInArrow(fit, "bias double, weights array<double>").first()
+    return Ensemble(model["bias"], tuple(Rule(r.bounds, w) for r, w in zip(rules, model["weights"]) if w))
 
 
 def score(docs: DataFrame, labels: DataFrame, at_least: float = SCORE_AT_LEAST, sample: int = SAMPLE) -> DataFrame:
