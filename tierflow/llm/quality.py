@@ -1,8 +1,8 @@
 """Quality by a sparse rule ensemble: paths of small trees over text statistics become rules, and a lasso keeps few of them.
 
 A random forest of shallow trees is fitted to labelled documents. Every node below a root is a conjunctive rule over the statistics; a logistic
-regression with an L1 penalty, chosen on a fold of the learning rows, weighs the rules. What is left is one Spark column expression, so scoring is
-a narrow plan without Python.
+regression with an L1 penalty, chosen on a fold of the learning rows, weighs the rules. What is left is one Spark column expression over the
+statistics, which one narrow Arrow pass over the texts counts (``text_statistics``).
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tierflow.functions.num import let
 from tierflow.llm.common import doc_rows
+from tierflow.llm.text_statistics import CLASSES, MATCHES, STATISTICS, with_statistics
 from tierflow.llm.toxicity import held_out
 from tierflow.operators.scale import staged
 
@@ -30,37 +30,6 @@ STEPS, SWEEPS = 40, 200  # of a fit, and of one of its steps, at most
 FOLD = 4  # one learning row in so many chooses the penalty
 SCORE_AT_LEAST = 0.3
 
-#: Characters that are left when a pattern is taken out, and matches of a pattern, each as a share of the text's characters, words or letters.
-CLASSES = {"letter_share": (r"\P{L}+", "chars"), "upper_share": (r"\P{Lu}+", "letters"), "digit_share": (r"\P{Nd}+", "chars"),
-           "symbol_share": (r"[\p{L}\p{Nd}\s.,]+", "chars")}
-MATCHES = {
-    "symbol_run_share": (r"([^\p{L}\p{Nd}\s])\1+", "words"),
-    "comma_share": (r"\p{L},", "words"),
-    "stop_share": (r"\p{L}[.?!](?!\S)", "words"),
-    "plain_word_share": (r"(?<!\S)\p{L}++[.,;:?!]?(?!\S)", "words"),
-    "short_word_share": (r"(?<!\S)\S{1,2}(?!\S)", "words"),
-    "long_word_share": (r"(?<!\S)\S{16}", "words"),
-    "repeated_word_share": (r"(?<!\S)(\S++)\s+(?=\1(?!\S))", "words"),
-    "line_share": (r"\n", "words"),
-    "capital_word_share": (r"(?<!\S)\p{Lu}\p{Ll}*+(?!\S)", "words"),
-    "bare_number_share": (r"(?<!\S)\p{Nd}++(?!\S)", "words"),
-}
-STATISTICS = ("log_chars", "word_chars", *CLASSES, *MATCHES)
-
-
-def statistics(text: Column) -> Column:
-    """A struct of the statistics of a text that is not null, as doubles; an empty one has zeros. Every pattern runs once."""
-    left = {k: F.char_length(F.regexp_replace(text, p, "")) for k, (p, _) in CLASSES.items()}
-    found = {"chars": F.char_length(text), "words": F.regexp_count(text, F.lit(r"\S+")), **left,
-             **{k: F.regexp_count(text, F.lit(p)) for k, (p, _) in MATCHES.items()}}
-
-    def shares(c: Column) -> Column:
-        of = {k: F.greatest(c[v], F.lit(1.0)) for k, v in {"chars": "chars", "words": "words", "letters": "letter_share"}.items()}
-        return F.struct(F.log2(c["chars"] + 1.0).alias("log_chars"), (c["chars"] / of["words"]).alias("word_chars"),
-                        *[(c[k] / of[per]).alias(k) for k, (_, per) in (CLASSES | MATCHES).items()])
-
-    return let(F.struct(*[c.cast("double").alias(k) for k, c in found.items()]), shares)
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -179,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int =
     share = min(1.0, sample / max(1, own.count()))
     picked = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # the ids picked are about ``sample`` in number, whatever the size of the tables
-    rows = doc_rows(docs).join(F.broadcast(picked), "doc_id").select("doc_id", F.col("label").cast("double").alias("label"), statistics(F.col("text")).alias("s"))
+    rows = with_statistics(doc_rows(docs).join(F.broadcast(picked), "doc_id").select("doc_id", F.col("label").cast("double").alias("label"), "text"))
     names = list(STATISTICS)
     # the same partitions in the same order whatever files the rows came from, so that a fit can be repeated
     learnt = staged(rows.select("doc_id", "label", "s.*")).repartition(4, "doc_id").sortWithinPartitions("doc_id", *names)
@@ -219,5 +188,5 @@ def score(docs: DataFrame, labels: DataFrame, at_least: float = SCORE_AT_LEAST,
 
 
 def judged(docs: DataFrame, model: Ensemble, at_least: float = SCORE_AT_LEAST) -> DataFrame:
-    out = doc_rows(docs).select("doc_id", let(statistics(F.col("text")), model.judge).alias("j"))
+    out = with_statistics(doc_rows(docs)).select("doc_id", model.judge(F.col("s")).alias("j"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "j.score", (F.col("j.score") >= at_least).cast("int").alias("predicted"), "j.rules")
