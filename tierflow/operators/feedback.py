@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tierflow import vocab as V
 from tierflow.functions import scoring as S, text as T
 from tierflow.functions.num import rnd
-from tierflow.operators.scale import (dimension, running, staged, time_bucket, top_per_key,
+from tierflow.operators.scale import (RANGE, dimension, in_ranges, running, staged, time_bucket, top_per_key,
                                       unit_hash, with_halo)
 
 
@@ -268,15 +268,23 @@ def store_composition(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("entries"), F.count("actual_tier").alias("judged"))
 
 
+def _sliced(df: DataFrame, keys: list[str], order: list[str], slice_seconds: int | None) -> tuple[DataFrame, Column]:
+    """The rows and the bucket for ``running``: ranges of rows, or time slices of a given width."""
+    if slice_seconds is None:
+        return in_ranges(df, keys, order), F.col(RANGE)
+    return df, time_bucket(F.col(order[0]), slice_seconds)
+
+
 # --- votes -------------------------------------------------------------------------
 def match_votes(replies: DataFrame, requests: DataFrame, within_seconds: int = 300,
-                slice_seconds: int = 3600) -> DataFrame:
+                slice_seconds: int | None = None) -> DataFrame:
     """Each vote reply takes the newest request of its agent that is still unanswered and
     younger than the limit.
 
     Requests open and replies close, newest first, which is bracket matching: a running
     level per agent pairs each reply with the last request on its level. So no pairs
-    are enumerated and hot agents are cut into time slices.
+    are enumerated and hot agents and hours are cut into ranges of rows, or into time
+    slices where ``slice_seconds`` is given.
     """
     agreed, tier = T.parse_vote_reply(F.col("reply_text"))
     r = replies.withColumn("agreed", agreed).withColumn("correct_tier", tier).where(F.col("agreed").isNotNull())
@@ -287,8 +295,8 @@ def match_votes(replies: DataFrame, requests: DataFrame, within_seconds: int = 3
     closed = r.select("agent_id", F.col("replied_at").alias("t"), F.lit(1).alias("kind"),
                       F.col("reply_id").alias("id"), F.lit(None).cast("string").alias("predicted_tier"),
                       "agreed", "correct_tier")
-    order, slot = ["t", "kind", "id"], time_bucket(F.col("t"), slice_seconds)
-    ev = opened.unionByName(closed)
+    order = ["t", "kind", "id"]
+    ev, slot = _sliced(opened.unionByName(closed), ["agent_id"], order, slice_seconds)
     ev = running(ev, ["agent_id"], order, slot, sums={"s": F.when(F.col("kind") == 0, 1).otherwise(-1)})
     ev = running(ev, ["agent_id"], order, slot, mins={"low": F.least(F.col("s"), F.lit(0))})
     ev = staged(ev.withColumn("depth", F.col("s") - F.col("low")))
@@ -438,14 +446,14 @@ def combine_labels(sources: DataFrame, silver_weight: float = 0.3, bronze_weight
 
 
 def calibration(df: DataFrame, bronze: Column, silver: Column, ts: str = "ts",
-                tie: str = "interaction_id", slice_seconds: int = 3600) -> DataFrame:
+                tie: str = "interaction_id", slice_seconds: int | None = None) -> DataFrame:
     """State of the label-source weights after each row, in log order.
 
     ``bronze`` and ``silver`` say whether the source agreed, null when not compared.
     """
-    order, slot = [ts, tie], time_bucket(F.col(ts), slice_seconds)
+    order = [ts, tie]
     n = lambda c: F.when(c, 1).otherwise(0).cast("long")
-    d = df.withColumn("__b", bronze).withColumn("__s", silver)
+    d, slot = _sliced(df.withColumn("__b", bronze).withColumn("__s", silver), [], order, slice_seconds)
     d = running(d, [], order, slot, sums={
         "bronze_compared": n(F.col("__b").isNotNull()), "bronze_agreed": n(F.col("__b")),
         "silver_compared": n(F.col("__s").isNotNull()), "silver_agreed": n(F.col("__s")),
@@ -462,7 +470,7 @@ def calibration(df: DataFrame, bronze: Column, silver: Column, ts: str = "ts",
             .withColumn("phase", phase)
             .withColumn("silver_weight", F.when(phase == "disabled", 0.0).when(phase == "low", full * 0.5)
                         .otherwise(full))
-            .drop("__b", "__s", "__new", "__old"))
+            .drop("__b", "__s", "__new", "__old", RANGE))
 
 
 def _bias(n: Column, up: Column, down: Column, low: Column) -> Column:
@@ -485,23 +493,25 @@ def history_bias_now(df: DataFrame, n: int = 50) -> DataFrame:
 
 
 def history_bias(df: DataFrame, n: int = 50, ts: str = "ts", tie: str = "interaction_id",
-                 key: str = "agent_id", chunk: int = 8192) -> DataFrame:
+                 key: str = "agent_id", chunk: int = 8192, slice_seconds: int | None = None) -> DataFrame:
     """Bias of each row from the agent's n interactions before it."""
-    d = running(_bias_flags(df), [key], [ts, tie], time_bucket(F.col(ts)), sums={"__pos": F.lit(1).cast("long")})
+    d, slot = _sliced(_bias_flags(df), [key], [ts, tie], slice_seconds)
+    d = running(d, [key], [ts, tie], slot, sums={"__pos": F.lit(1).cast("long")})
     d = with_halo(d, "__pos", n, chunk)
     w = Window.partitionBy(key, "__chunk").orderBy("__pos").rowsBetween(-n, -1)
     count = F.count(F.lit(1)).over(w)
     sums = [F.coalesce(F.sum(c).over(w), F.lit(0)) for c in ["__up", "__down", "__low"]]
     return (d.withColumn("bias", _bias(count, *sums)).where(~F.col("__halo"))
-            .drop("__pos", "__chunk", "__halo", "__up", "__down", "__low"))
+            .drop("__pos", "__chunk", "__halo", "__up", "__down", "__low", RANGE))
 
 
 def session_turns_log(df: DataFrame, key: str = "agent_id", ts: str = "ts", tie: str = "interaction_id",
-                      idle_seconds: int = 3600) -> DataFrame:
+                      idle_seconds: int = 3600, slice_seconds: int | None = None) -> DataFrame:
     """Numbers the sessions of a key (a gap above ``idle_seconds`` starts a new one) and
     marks the turns where the model changed inside a session."""
-    order, slot = [ts, tie], time_bucket(F.col(ts))
-    d = running(df, [key], order, slot, previous={"__prev": F.struct(F.col(ts).alias("t"), F.col("routed_model").alias("m"))})
+    order = [ts, tie]
+    d, slot = _sliced(df, [key], order, slice_seconds)
+    d = running(d, [key], order, slot, previous={"__prev": F.struct(F.col(ts).alias("t"), F.col("routed_model").alias("m"))})
     idle = F.make_dt_interval(secs=F.lit(idle_seconds).cast("decimal(18,6)"))
     fresh = F.col("__prev").isNull() | (F.col(ts) > F.col("__prev.t") + idle)
     d = d.withColumn("__new", fresh.cast("long"))
@@ -509,7 +519,7 @@ def session_turns_log(df: DataFrame, key: str = "agent_id", ts: str = "ts", tie:
     note = F.concat(F.lit("[Turn: "), F.col("predicted_tier"), F.lit("→"), F.col("routed_model"), F.lit("] "),
                     F.substring("response_text", 1, 300))
     return (d.withColumn("switched", (F.col("__new") == 0) & (F.col("__prev.m") != F.col("routed_model")))
-            .withColumn("turn_note", note).drop("__prev", "__new"))
+            .withColumn("turn_note", note).drop("__prev", "__new", RANGE))
 
 
 def session_state(turns: DataFrame, key: str = "agent_id", ts: str = "ts", tie: str = "interaction_id",

@@ -1,7 +1,7 @@
 """Ordered per-key work that stays exact when one key holds a large share of all rows.
 
 A plain window puts every row of a key in one task. Here rows are cut into buckets
-that follow the order (a time slice, a hash prefix, a message range). One partial
+that follow the order (a range of rows, a hash prefix, a message range). One partial
 aggregate per (key, bucket) is small; its window gives every bucket what came before
 it; and a local window inside the bucket does the rest. The row side is shuffled
 once, on (key, bucket).
@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET = "__bucket"
+RANGE = "__range"
+RANGES_A_TASK = 4
 
 
 def scratch_dir(spark) -> str:
@@ -44,6 +46,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """The rows, staged, with the number of their range of (keys, order) in RANGE, a bucket for ``running``.
+
+    Spark samples the rows to cut the ranges, so they hold about equal numbers of rows, whatever share one key or one hour has. Rows equal
+    in all of ``keys`` and ``order`` share a range; nulls come first. Ranges are several times as many as tasks, so that hashing evens them out.
+    """
+    n = ranges or RANGES_A_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(n, *keys, *order).withColumn(RANGE, F.spark_partition_id()))
+
+
 def as_cols(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
@@ -110,7 +122,7 @@ def running(df: DataFrame, keys: list[str], order: list, bucket: Column,
 
 
 def time_bucket(ts: Column, seconds: int = 3600) -> Column:
-    """Slice number of a timestamp; the width bounds the rows of one (key, slice)."""
+    """Slice number of a timestamp. A busy slice is one task; ``in_ranges`` cuts by the rows instead."""
     day = F.datediff(F.to_date(ts), F.lit("1970-01-01"))
     return F.floor((day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
                    / F.lit(seconds)).cast("long")
