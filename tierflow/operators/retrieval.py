@@ -2,20 +2,30 @@
 
 The index forgets rows older than the TTL; a caller may also ask for its newest ``max_entries`` only. Entries with
 equal term sets are looked up as one set, and queries with equal keyword lists as one profile, so neither copies of
-entries nor of queries multiply the work.
+entries nor of queries multiply the work. Blocks of profiles meet blocks of sets; a task counts the matches of its two
+blocks and hands on the best sets of each profile, so no (profile, set) pair is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tierflow import vocab as V
 from tierflow.functions import scoring as S
 from tierflow.operators.feedback import keep_latest
-from tierflow.operators.scale import top_per_key
+from tierflow.operators.scale import staged, top_per_key
 
 MAX_ENTRIES = None
 TTL_MS = 86400000
+BLOCK_PROFILES = 32768
+BLOCK_SETS = 65536
+MATCHES_AT_ONCE = 1 << 21
 
 
 def live_index(index: DataFrame, now=None, ttl=TTL_MS, max_entries: int | None = MAX_ENTRIES,
@@ -48,6 +58,70 @@ def containment_pairs(words: DataFrame, terms: DataFrame) -> DataFrame:
     return inside_term.select("kw", "term").union(inside_kw.select("kw", "term")).distinct()
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of each list, and all items."""
+    c = column.combine_chunks()
+    sizes = pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.cumsum(sizes) - sizes, sizes, c.flatten().to_numpy(zero_copy_only=False)
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the items of the given lists, one list after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _best_sets(k: int, at_once: int = MATCHES_AT_ONCE) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a block of profiles with their keywords' terms and a block of sets: the k best sets of each profile. Set
+    numbers follow the order of ties. Profiles are counted in groups of about ``at_once`` matches."""
+
+    def best(asked: pa.Table, sets: pa.Table) -> pa.Table:
+        sets = sets.sort_by("s")
+        number, n_sets = sets["s"].to_numpy(), sets.num_rows
+        _, sizes, flat = _lists(sets["ids"])
+        order = np.argsort(flat, kind="stable")
+        posting = np.repeat(np.arange(n_sets), sizes)[order]
+        terms, t_start, t_size = np.unique(flat[order], return_index=True, return_counts=True)
+
+        words = asked.filter(pc.is_valid(asked["w"])).sort_by("w")
+        _, w_size, w_term = _lists(words["ids"])
+        at = np.searchsorted(terms, w_term)
+        here = at < len(terms)
+        here[here] = terms[at[here]] == w_term[here]
+        owner, w_term = np.repeat(np.arange(len(w_size)), w_size)[here], at[here]
+        w_size = np.bincount(owner, minlength=len(w_size))
+        w_start = np.cumsum(w_size) - w_size
+        w_matches = np.bincount(owner, t_size[w_term], minlength=len(w_size)).astype(np.int64)
+
+        profiles = asked.filter(pc.is_valid(asked["p"]))
+        profile = profiles["p"].to_numpy()
+        p_start, p_size, flat = _lists(profiles["ids"])
+        p_word = np.searchsorted(words["w"].to_numpy(), flat)
+        matches = np.bincount(np.repeat(np.arange(len(p_size)), p_size), w_matches[p_word], minlength=len(p_size))
+        group = np.cumsum(matches) // at_once
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(p_size)]
+        out = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            who = np.repeat(np.arange(lo, hi), p_size[lo:hi])
+            word = p_word[_places(p_start[lo:hi], p_size[lo:hi])]
+            term = w_term[_places(w_start[word], w_size[word])]
+            item = np.repeat(np.repeat(np.arange(len(word)), w_size[word]), t_size[term])
+            # a keyword counts once a set, whatever number of the set's terms it matches
+            hit = np.unique(item * n_sets + posting[_places(t_start[term], t_size[term])])
+            pair, score = np.unique(who[hit // n_sets] * n_sets + hit % n_sets, return_counts=True)
+            if not len(pair):
+                continue
+            top = score.max()
+            rank = np.sort((pair // n_sets * (top + 1) + top - score) * n_sets + pair % n_sets)
+            p = rank // (n_sets * (top + 1))
+            rank = rank[np.arange(len(p)) - np.searchsorted(p, p) < k]
+            p, s = rank // n_sets // (top + 1), rank % n_sets
+            out.append((profile[p], number[s], top - rank // n_sets % (top + 1)))
+        p, s, score = map(np.concatenate, zip(*out)) if out else [np.zeros(0, np.int64)] * 3
+        return pa.table({"p": p, "s": s, "score": score.astype(np.int64)})
+
+    return best
+
+
 def retrieve(queries: DataFrame, index: DataFrame, k: int = 3, now=None, ttl=TTL_MS,
              max_entries: int | None = MAX_ENTRIES, query_id: str = "query_id", keywords: str = "keywords",
              created: str = "created", key: str = "entry_id") -> DataFrame:
@@ -56,28 +130,50 @@ def retrieve(queries: DataFrame, index: DataFrame, k: int = 3, now=None, ttl=TTL
     A keyword matches an entry when one of the entry's terms contains it or is contained
     in it. Ties go to the older entry. Repeated keywords of a query count each time.
     """
+    numbered = lambda df, n: staged(df.withColumn(n, F.monotonically_increasing_id()))
     entries = live_index(index, now, ttl, max_entries, created, key)
     terms = F.array_sort(F.array_distinct(F.concat("keywords", "tags")))
     held = entries.select(F.col(key).alias("e"), F.col(created).alias("c"), terms.alias("terms"))
-    held = held.withColumn("set", F.md5(F.to_json("terms")))
+    held = staged(held.withColumn("set", F.md5(F.to_json("terms"))))
     # of one set only its k oldest entries can be among the k best
     oldest = top_per_key(held.select("set", "c", "e"), ["set"], [F.col("c"), F.col("e")], k).drop("rank")
+    ranges = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = held.groupBy("set", "terms").agg(F.min(F.struct("c", "e")).alias("p"))
-    postings = sets.select("set", "p", F.explode("terms").alias("term"))
+    sets = numbered(sets.repartitionByRange(ranges, "p.c", "p.e").sortWithinPartitions("p.c", "p.e"), "s")
+    postings = sets.select("s", F.explode("terms").alias("term"))
+    vocabulary = numbered(postings.select("term").distinct(), "t")
 
     # equal keyword lists are one profile; copies of a prompt cost one lookup
-    profiled = queries.select(F.col(query_id).alias("q"), F.col(keywords).alias("kws"))
-    profiles = profiled.groupBy("kws").agg(F.count(F.lit(1)).alias("n"))
-    words = profiles.select(F.explode("kws").alias("kw")).distinct()
-    hits = (containment_pairs(words, postings.select("term").distinct()).join(postings, "term")
-            .groupBy("kw", "set").agg(F.min("p").alias("p")))
-    lists = profiles.select("kws", F.posexplode("kws").alias("i", "kw"))
-    scored = (lists.join(hits, "kw").groupBy("kws", "set")
-              .agg(F.count(F.lit(1)).alias("score"), F.min("p").alias("p")))
+    profiled = staged(queries.select(F.col(query_id).alias("q"), F.col(keywords).alias("kws")))
+    profiles = numbered(profiled.select("kws").distinct(), "p")
+    lists = profiles.select("p", F.explode("kws").alias("kw"))
+    words = numbered(lists.select("kw").distinct(), "w")
+    pairs = (containment_pairs(words.select("kw"), vocabulary.select("term"))
+             .join(words, "kw").join(vocabulary, "term").groupBy("w").agg(F.collect_list("t").alias("ids")))
+    pairs = staged(pairs)
+
+    # every block of profiles meets every block of sets; only their best sets leave a task
+    of_profiles = max(held.sparkSession.sparkContext.defaultParallelism, math.ceil(profiles.count() / BLOCK_PROFILES))
+    of_sets = max(1, math.ceil(sets.count() / BLOCK_SETS))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    lists = staged(lists.join(words, "kw").join(pairs.select("w"), "w")
+                   .select("p", "w", block("p", of_profiles).alias("bp")))
+    none = F.lit(None).cast("long")
+    asked = (lists.groupBy("bp", "p").agg(F.collect_list("w").alias("ids")).select("bp", "p", none.alias("w"), "ids")
+             .unionByName(lists.select("bp", "w").distinct().join(pairs, "w").select("bp", none.alias("p"), "w", "ids")))
+    of_set = postings.join(vocabulary, "term").groupBy("s").agg(F.collect_list("t").alias("ids"))
+    tasks = 4 * of_profiles * of_sets
+    asked = asked.withColumn("bs", each(of_sets)).repartition(tasks, "bp", "bs")
+    of_set = (of_set.withColumn("bs", block("s", of_sets)).withColumn("bp", each(of_profiles)).repartition(tasks, "bp", "bs"))
+    count = _best_sets(k)
+    scored = asked.groupBy("bp", "bs").cogroup(of_set.groupBy("bp", "bs")).applyInArrow(
+        lambda a, b: count(a, b), "p long, s long, score long")
     # k sets hold the k best entries: each better set has an entry that is better too
-    near = top_per_key(scored, ["kws"], [F.col("score").desc(), F.col("p.c"), F.col("p.e")], k).drop("rank", "p")
-    top = top_per_key(near.join(oldest, "set"), ["kws"], [F.col("score").desc(), F.col("c"), F.col("e")], k)
-    return profiled.join(top, "kws").select(
+    near = top_per_key(scored, ["p"], [F.col("score").desc(), F.col("s")], k).drop("rank")
+    near = near.join(sets.select("s", "set"), "s").drop("s")
+    top = top_per_key(near.join(oldest, "set"), ["p"], [F.col("score").desc(), F.col("c"), F.col("e")], k)
+    return profiled.join(profiles, "kws").join(top, "p").select(
         F.col("q").alias(query_id), F.col("rank").cast("long").alias("rank"), "score", F.col("e").alias(key))
 
 
