@@ -19,9 +19,12 @@ MATCHED = "reply_id bigint, agent_id string, request_id bigint, predicted_tier s
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """File stream over one of the given tables."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """File stream over one of the given tables, which is a file or a folder of files."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    stream = spark.readStream.schema(table.schema)
+    if any(f.endswith(f"/{name}.parquet") for f in table.inputFiles()):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
