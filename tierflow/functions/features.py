@@ -290,7 +290,7 @@ def signal_count(df: DataFrame, text: str = "text") -> DataFrame:
     cols = df.columns
     t, low = F.col(text), F.col("__lower")
     d = (df.withColumn("__lower", F.lower(t))
-         .withColumn("__wc", F.regexp_count(t, F.lit(f"[^{T.SPACE}]+"))))
+         .withColumn("__wc", T.space_token_count(t)))
     conds = [c.cast("int") for c in _signals(t, low).values()]
     live = F.col("__wc") > 0
     return d.select(

@@ -202,7 +202,7 @@ def label_signals(df: DataFrame, text: str = "text", out: str = "label") -> Data
     cols = df.columns
     t, low = F.col(text), F.col("__lower")
     d = (df.withColumn("__lower", F.lower(t))
-         .withColumn("__wc", F.regexp_count(t, F.lit(f"[^{T.SPACE}]+")))
+         .withColumn("__wc", T.space_token_count(t))
          .withColumn("__ctx", T.any_of(low, V.LABEL_CONTEXT)))
     conds = [
         t.contains("?"), T.any_of(low, V.LABEL_CODE),
@@ -212,7 +212,8 @@ def label_signals(df: DataFrame, text: str = "text", out: str = "label") -> Data
         T.any_of(low, V.SIGNAL_ARCHITECTURE), T.any_of(low, V.SIGNAL_DESIGN)]
     n = sum([c.cast("int") for c in conds[1:]], conds[0].cast("int"))
     score = n * 0.15 + F.log1p("__wc") * 0.08 + F.when(F.col("__ctx"), 0.1).otherwise(0.0)
-    return d.select(*cols, tier_from_bounds(score, V.LABEL_BOUNDS).alias(out))
+    # the bounds name the score five times; as a column it is computed once
+    return d.withColumn("__score", score).select(*cols, tier_from_bounds(F.col("__score"), V.LABEL_BOUNDS).alias(out))
 
 
 def label_rules() -> Column:
@@ -277,7 +278,7 @@ def assess_response(df: DataFrame, response: str = "response", tier: str = "pred
                     latency: str = "latency_ms") -> DataFrame:
     """How well the tier fitted, judged from the response alone."""
     from tierflow.functions import text as T
-    n = F.regexp_count(F.coalesce(F.col(response), F.lit("")), F.lit(f"[^{T.SPACE}]+"))
+    n = T.space_token_count(F.coalesce(F.col(response), F.lit("")))
     d = df.withColumn("response_words", n.cast("long"))
     w = F.col("response_words")
     pred = tier_value(F.col(tier))

@@ -21,7 +21,8 @@ N = len(V.FEATURE_NAMES)
 def fit_binary(df: DataFrame, target: str = "target", vector: str = "vec", id_col: str = "id", c: float = 1.0,
                iterations: int = 1000, minimum: int = 10, seed: int = 42) -> dict | None:
     """L2 logistic regression on a balanced sample; None when a class is too small."""
-    s = staged(balanced_sample(df.select(id_col, target, vector), target, id_col, seed, minimum)
+    d = staged(df.select(id_col, target, vector))  # the sample reads its input three times; vectors are computed once
+    s = staged(balanced_sample(d, target, id_col, seed, minimum)
                .select(F.col(target).cast("double").alias("label"), vector))
     counts = {r["label"]: r["n"] for r in s.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
@@ -175,7 +176,8 @@ def training_run(samples: DataFrame, share: float = 0.8, seed: int = 42) -> dict
     """Split, baseline, cascade fit and both reports for labelled prompts (id, text, label)."""
     from tierflow.operators.dataset import stratified_split
     from tierflow.operators.feedback import compare_tiers, evaluate
-    d = staged(stratified_split(X.prompt_features(samples, rounded=False).drop("text"), share=share, seed=seed))
+    # the split reads its input three times; features are computed once
+    d = staged(stratified_split(staged(X.prompt_features(samples, rounded=False).drop("text")), share=share, seed=seed))
     train, test = d.where("part = 'train'"), d.where("part = 'test'")
     fitted = fit_cascade(train)
     scored = test.select("label", S.tier_classic(S.heuristic_score()).alias("base"),
