@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tierflow import vocab as V
 from tierflow.functions import scoring as S, text as T
 from tierflow.functions.num import rnd
-from tierflow.operators.scale import first_per_key, uniform_hash, unit_hash
+from tierflow.operators.scale import first_per_key, staged, uniform_hash, unit_hash
 
 
 def load_instructions(df: DataFrame, col: str, max_n: int, order: str = "id") -> DataFrame:
@@ -48,10 +48,10 @@ def validate_dataset(df: DataFrame, min_samples: int = 100, text: str = "text",
                      words: str = "word_count") -> DataFrame:
     """One row: counts, duplicate rate, mean words, issues and the verdict."""
     digest = F.sha2(F.col(text), 256)
-    # copies fold first, so a text that fills a third of the rows is one row afterwards
-    part = df.groupBy(F.col(label).alias("label"), digest.alias("d")).agg(
+    # copies fold first, so a text that fills a third of the rows is one row afterwards; read twice, labelled once
+    part = staged(df.groupBy(F.col(label).alias("label"), digest.alias("d")).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.length(text)).alias("len"), F.min(words).alias("lo"),
-        F.max(words).alias("hi"), F.sum(words).alias("w"))
+        F.max(words).alias("hi"), F.sum(words).alias("w")))
     per_text = part.groupBy("d").agg(
         F.sum("n").alias("n"), F.min("len").alias("len"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.sum("w").alias("w"))
@@ -213,7 +213,7 @@ def generate_dataset(ids: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFra
 def exact_quantiles(df: DataFrame, value: str, points: list[float], cells: int = 4096) -> DataFrame:
     """One row with interpolated quantiles q0, q1, ... of a value in [0, 1]. Equal values are
     folded first; ranks come from value cells, so no task sees all values."""
-    from tierflow.operators.scale import running, staged
+    from tierflow.operators.scale import running
     d = staged(df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")))
     d = running(d, [], ["v"], F.floor(F.col("v") * cells), sums={"upto": F.col("n")}, totals={"total": F.col("n")})
     aggs = []
