@@ -46,14 +46,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_ranges(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None,
+              added: dict[str, Column] | None = None) -> DataFrame:
     """The rows, staged, with the number of their range of (keys, order) in RANGE, a bucket for ``running``.
 
     Spark samples the rows to cut the ranges, so they hold about equal numbers of rows, whatever share one key or one hour has. Rows equal
     in all of ``keys`` and ``order`` share a range; nulls come first. Ranges are several times as many as tasks, so that hashing evens them out.
+    ``added`` are costly columns, computed once per row in its range: before, a few tasks may read all rows, and sampling would compute them again.
     """
     n = ranges or RANGES_A_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return staged(df.repartitionByRange(n, *keys, *order).withColumn(RANGE, F.spark_partition_id()))
+    return staged(df.repartitionByRange(n, *keys, *order).withColumns({**(added or {}), RANGE: F.spark_partition_id()}))
 
 
 def as_cols(order) -> list[Column]:
