@@ -56,3 +56,16 @@ def test_index_stream_over_a_folder_of_files(spark, tmp_path, files):
     got, want = (sorted(tuple(r[c] for c in ("query_id", "rank", "score", "entry_id")) for r in q[n](spark, str(tmp_path)).collect())
                  for n in ("z5_index_stream", "r1_retrieve"))
     assert got == want and len(got) == 36
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """Staged tables look small to Spark, also below the explode into substrings; at 60 times sf0.1 the driver ran full of them."""
+    plans, kept = [], I.staged
+    monkeypatch.setattr(I, "staged", lambda df: plans.append(df) or kept(df))
+    e = spark.createDataFrame([(i, i, [f"word{i}"], ["tag"], "light", 0.5) for i in range(9)],
+                              "entry_id long, created long, keywords array<string>, tags array<string>, tier string, adequacy double")
+    q = spark.createDataFrame([(i, [f"word{i}", "ordinary"]) for i in range(9)], "query_id long, keywords array<string>")
+    plans += [I.retrieve(q, e), I.retrieval_signal(q, e), I.consensus_label(q, e)]
+    plans.append(I.containment_pairs(kept(spark.sql("select 'ordinary' kw")), kept(spark.sql("select 'ordinary' term"))))
+    found = [p for p in (d._jdf.queryExecution().executedPlan().toString() for d in plans) if "Broadcast" in p]
+    assert len(plans) > 20 and not found

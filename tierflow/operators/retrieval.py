@@ -3,7 +3,8 @@
 The index forgets rows older than the TTL; a caller may also ask for its newest ``max_entries`` only. Entries with
 equal term sets are looked up as one set, and queries with equal keyword lists as one profile, so neither copies of
 entries nor of queries multiply the work. Blocks of profiles meet blocks of sets; a task counts the matches of its two
-blocks and hands on the best sets of each profile, so no (profile, set) pair is shuffled.
+blocks and hands on the best sets of each profile, so no (profile, set) pair is shuffled. All tables grow with the
+input, so every join shuffles both sides and none is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from tierflow import vocab as V
 from tierflow.functions import scoring as S
 from tierflow.operators.feedback import keep_latest
-from tierflow.operators.scale import staged, top_per_key
+from tierflow.operators.scale import sorted_join, staged, top_per_key
 
 MAX_ENTRIES = None
 TTL_MS = 86400000
@@ -51,10 +52,10 @@ def containment_pairs(words: DataFrame, terms: DataFrame) -> DataFrame:
     """
     head = lambda c: F.substring(c, 1, 4)
     kw, term = F.col("kw"), F.col("term")
-    inside_term = words.select(kw, head(kw).alias("g")).join(
-        terms.select(term, F.explode(_grams(term)).alias("g")), "g").where(term.contains(kw))
-    inside_kw = words.select(kw, F.explode(_grams(kw)).alias("g")).join(
-        terms.select(term, head(term).alias("g")), "g").where(kw.contains(term))
+    inside_term = sorted_join(words.select(kw, head(kw).alias("g")),
+                              terms.select(term, F.explode(_grams(term)).alias("g")), "g").where(term.contains(kw))
+    inside_kw = sorted_join(words.select(kw, F.explode(_grams(kw)).alias("g")),
+                            terms.select(term, head(term).alias("g")), "g").where(kw.contains(term))
     return inside_term.select("kw", "term").union(inside_kw.select("kw", "term")).distinct()
 
 
@@ -148,21 +149,20 @@ def retrieve(queries: DataFrame, index: DataFrame, k: int = 3, now=None, ttl=TTL
     profiles = numbered(profiled.select("kws").distinct(), "p")
     lists = profiles.select("p", F.explode("kws").alias("kw"))
     words = numbered(lists.select("kw").distinct(), "w")
-    pairs = (containment_pairs(words.select("kw"), vocabulary.select("term"))
-             .join(words, "kw").join(vocabulary, "term").groupBy("w").agg(F.collect_list("t").alias("ids")))
-    pairs = staged(pairs)
+    pairs = sorted_join(containment_pairs(words.select("kw"), vocabulary.select("term")), words, "kw")
+    pairs = staged(sorted_join(pairs, vocabulary, "term").groupBy("w").agg(F.collect_list("t").alias("ids")))
 
     # every block of profiles meets every block of sets; only their best sets leave a task
     of_profiles = max(held.sparkSession.sparkContext.defaultParallelism, math.ceil(profiles.count() / BLOCK_PROFILES))
     of_sets = max(1, math.ceil(sets.count() / BLOCK_SETS))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    lists = staged(lists.join(words, "kw").join(pairs.select("w"), "w")
+    lists = staged(sorted_join(sorted_join(lists, words, "kw"), pairs.select("w"), "w")
                    .select("p", "w", block("p", of_profiles).alias("bp")))
     none = F.lit(None).cast("long")
     asked = (lists.groupBy("bp", "p").agg(F.collect_list("w").alias("ids")).select("bp", "p", none.alias("w"), "ids")
-             .unionByName(lists.select("bp", "w").distinct().join(pairs, "w").select("bp", none.alias("p"), "w", "ids")))
-    of_set = postings.join(vocabulary, "term").groupBy("s").agg(F.collect_list("t").alias("ids"))
+             .unionByName(sorted_join(lists.select("bp", "w").distinct(), pairs, "w").select("bp", none.alias("p"), "w", "ids")))
+    of_set = sorted_join(postings, vocabulary, "term").groupBy("s").agg(F.collect_list("t").alias("ids"))
     tasks = 4 * of_profiles * of_sets
     asked = asked.withColumn("bs", each(of_sets)).repartition(tasks, "bp", "bs")
     of_set = (of_set.withColumn("bs", block("s", of_sets)).withColumn("bp", each(of_profiles)).repartition(tasks, "bp", "bs"))
@@ -171,9 +171,9 @@ def retrieve(queries: DataFrame, index: DataFrame, k: int = 3, now=None, ttl=TTL
         lambda a, b: count(a, b), "p long, s long, score long")
     # k sets hold the k best entries: each better set has an entry that is better too
     near = top_per_key(scored, ["p"], [F.col("score").desc(), F.col("s")], k).drop("rank")
-    near = near.join(sets.select("s", "set"), "s").drop("s")
-    top = top_per_key(near.join(oldest, "set"), ["p"], [F.col("score").desc(), F.col("c"), F.col("e")], k)
-    return profiled.join(profiles, "kws").join(top, "p").select(
+    near = sorted_join(near, sets.select("s", "set"), "s").drop("s")
+    top = top_per_key(sorted_join(near, oldest, "set"), ["p"], [F.col("score").desc(), F.col("c"), F.col("e")], k)
+    return sorted_join(sorted_join(profiled, profiles, "kws"), top, "p").select(
         F.col("q").alias(query_id), F.col("rank").cast("long").alias("rank"), "score", F.col("e").alias(key))
 
 
@@ -186,11 +186,11 @@ def retrieval_signal(queries: DataFrame, index: DataFrame, variant: str = "score
                          options.get("max_entries", MAX_ENTRIES))
     value = S.tier_value(F.col("tier"), V.RETRIEVAL_TIER_VALUES, 0.3 if variant == "scorer" else 0.5)
     e = entries.select("entry_id", value.alias("v"), (F.col("adequacy") < 0.6).alias("weak"))
-    s = got.join(e, "entry_id").groupBy("query_id").agg(
+    s = sorted_join(got, e, "entry_id").groupBy("query_id").agg(
         F.avg("v").alias("mean"), F.max(F.col("weak").cast("int")).alias("weak"))
     signal = F.col("mean") if variant == "scorer" else F.when(F.col("mean").isNotNull(), F.least(
         F.lit(1.0), F.col("mean") + F.when(F.col("weak") == 1, 0.1).otherwise(0.0)))
-    return queries.select("query_id").join(s, "query_id", "left").select(
+    return sorted_join(queries.select("query_id"), s, "query_id", "left").select(
         "query_id", F.coalesce(signal, F.lit(0.5)).alias("retrieval"))
 
 
@@ -200,7 +200,7 @@ def consensus_label(queries: DataFrame, index: DataFrame, min_agreement: int = 3
     got = retrieve(queries, index, 10, **options)
     entries = live_index(index, options.get("now"), options.get("ttl", TTL_MS),
                          options.get("max_entries", MAX_ENTRIES)).select("entry_id", "tier")
-    n = (got.join(entries, "entry_id").groupBy("query_id", "tier")
+    n = (sorted_join(got, entries, "entry_id").groupBy("query_id", "tier")
          .agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")))
     best = n.groupBy("query_id").agg(F.sum("n").alias("found"),
                                      F.max(F.struct("n", (-F.col("first")).alias("f"), "tier")).alias("b"))
@@ -215,7 +215,7 @@ def context_notes(queries: DataFrame, index: DataFrame, k: int = 3, **options) -
     e = live_index(index, options.get("now"), options.get("ttl", TTL_MS),
                    options.get("max_entries", MAX_ENTRIES)).select(
         "entry_id", T.context_note(F.col("original_role"), F.col("summary")).alias("line"))
-    lines = got.join(e, "entry_id").groupBy("query_id").agg(
+    lines = sorted_join(got, e, "entry_id").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
     return lines.select("query_id", F.concat(F.lit(T.CONTEXT_HEADER), F.array_join(F.col("l.line"), "\n"))
                         .alias("context_note"))
@@ -229,6 +229,6 @@ def intent_score(prompts: DataFrame, index: DataFrame, feedback: DataFrame, **op
     scored = gateway_features(prompts).select("query_id", S.gateway_heuristic().alias("heuristic"))
     signal = retrieval_signal(prompts, index, "scorer", **options)
     bias = history_bias_now(feedback)  # one row, joined on a constant
-    d = (scored.join(signal, "query_id").withColumn("__k", F.lit(1))
+    d = (sorted_join(scored, signal, "query_id").withColumn("__k", F.lit(1))
          .join(F.broadcast(bias.withColumn("__k", F.lit(1))), "__k").drop("__k"))
     return S.ensemble_vote(d)

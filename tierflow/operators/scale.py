@@ -46,6 +46,15 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides, for tables that grow with the input.
+
+    Spark takes the bytes of a staged Parquet table for its size, also below an explode. Rows are many times that, and a
+    table under the broadcast threshold would pass through the driver whole.
+    """
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def in_ranges(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None,
               added: dict[str, Column] | None = None) -> DataFrame:
     """The rows, staged, with the number of their range of (keys, order) in RANGE, a bucket for ``running``.
