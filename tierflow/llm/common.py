@@ -109,7 +109,8 @@ def two_rounds(rows: DataFrame, job, schema: str) -> DataFrame:
         return job.finish(left, _read(right, 1), _read(right, 2)) if left.num_rows else job.empty
 
     buckets = placed.groupBy("__b")
-    said = buckets.applyInArrow(first, _MESSAGE).groupBy("s").applyInArrow(answer(1), _MESSAGE)
+    # dealt out by bucket once, for both that read it; else the first answers are worked out twice
+    said = buckets.applyInArrow(first, _MESSAGE).groupBy("s").applyInArrow(answer(1), _MESSAGE).repartition(n, "b")
     again = (buckets.cogroup(said.groupBy("b")).applyInArrow(ask(2), _MESSAGE)
              .groupBy("s").applyInArrow(answer(2), _MESSAGE))
     job.empty = pa.table({f.name: pa.array([], _arrow(f.dataType)) for f in spark.createDataFrame([], schema).schema})

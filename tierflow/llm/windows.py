@@ -156,16 +156,17 @@ class SharedWindows:
             yield s, (*sent.get(s, (none, none)), same.get(s, []))
 
     def answer_first(self, asked):
+        # one look-up for all buckets: their number grows with the corpus, so none may search what all of them hold
         each = [np.concatenate(m[:2]) for _, m in asked]
-        low, count = np.unique(np.concatenate(each + [m[1] for _, m in asked]), return_counts=True)
-        again = low[count > 1]
+        _, at, count = np.unique(np.concatenate(each + [m[1] for _, m in asked]), return_inverse=True, return_counts=True)
+        again = np.split((count > 1)[at], np.cumsum([len(own) for own in each]))
         least_of, seen = {}, {}
         for _, m in asked:
             for d, name in m[2]:
                 least_of[d] = min(name, least_of.get(d, name))
                 seen[d] = seen.get(d, 0) + 1
-        for (b, m), own in zip(asked, each):
-            yield b, (own[np.isin(own, again)], [(d, least_of[d]) for d, _ in m[2] if seen[d] > 1])
+        for (b, m), own, more in zip(asked, each, again):
+            yield b, (own[more], [(d, least_of[d]) for d, _ in m[2] if seen[d] > 1])
 
     def copies(self, names, texts, answers) -> list[bool]:
         """Which documents are later copies of a whole text (by sha256)."""
